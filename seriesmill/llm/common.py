@@ -102,7 +102,7 @@ def rolled(x: np.ndarray, k: int) -> np.ndarray:
     """Hash of each window of k consecutive values (wrapping arithmetic); doubling keeps it at about 2 log2 k passes."""
     if len(x) < k:
         return np.empty(0, np.uint64)
-    done, power, out, out_len = x, BASE, None, 0
+    done, out, out_len = x, None, 0
     span = 1
     while True:
         if k & span:
@@ -116,8 +116,7 @@ def rolled(x: np.ndarray, k: int) -> np.ndarray:
         if span > k:
             return mixed(out)
         n = len(done) - span // 2
-        done = done[:n] + done[span // 2 : span // 2 + n] * power
-        power = power * power
+        done = done[:n] + done[span // 2 : span // 2 + n] * POWERS[span // 2]
 
 
 with np.errstate(over="ignore"):

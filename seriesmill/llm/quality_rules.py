@@ -14,6 +14,7 @@ no rows. Columns of the table other than doc_id and text are carried only inside
 
 from __future__ import annotations
 
+import operator
 import re
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, rolled
 
 #: Rule bits, in this order; a bit is never given another meaning, new rules are appended.
-RULES = ("few_words", "repeat_words", "symbol_ratio", "duplicate_lines", "word_length", "upper_case", "exclamations", "toxic_terms")
+RULES = ("few_words", "repeat_words", "symbol_ratio", "duplicate_lines", "word_length", "upper_case", "exclamations", "toxic_terms", "stutter")
 BIT = {name: 1 << i for i, name in enumerate(RULES)}
 
 #: The rules of each policy version.
@@ -42,7 +43,7 @@ TOXIC = (
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 OUTER = ".,;:!?\"'()"
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_exclaimed long, n_toxic long"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_exclaimed long, n_toxic long, n_stutter long"
 
 
 def measure(text: str | None, hashes: WordHashes) -> tuple[int, ...]:
@@ -72,6 +73,7 @@ def measure(text: str | None, hashes: WordHashes) -> tuple[int, ...]:
         sum(1 for w in decoded if w != w.lower() and len(w) > 1 and w == w.upper()),
         sum(1 for w in decoded if w[-1] == "!"),
         sum(1 for w in decoded if w.strip(OUTER).lower() in TOXIC_SET),
+        sum(map(operator.eq, words[1:], words)),
     )
 
 
@@ -80,24 +82,23 @@ TOXIC_SET = frozenset(TOXIC)
 
 def ledger(docs: DataFrame) -> DataFrame:
     """__row (the document as a struct), the measurements, and ``failed``, a bit per rule."""
-    spark = docs.sparkSession
     rows = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"))
 
     def measured(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t, HASHES) for t in texts], columns=[x.split()[0] for x in MEASURES.split(", ")])
 
     m = rows.select("__row", F.pandas_udf(measured, MEASURES)("__text").alias("m")).select("__row", "m.*")
-    del spark
     n = F.col("n_words")
     fails = {
         "few_words": n < 10,
         "repeat_words": 100 * F.col("n_repeat_words") > 20 * n,
         "symbol_ratio": 10 * F.col("n_symbols") > n,
-        "duplicate_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+        "duplicate_lines": (F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
         "word_length": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n),
         "upper_case": 10 * F.col("n_upper") > 3 * n,
         "exclamations": 10 * F.col("n_exclaimed") > 2 * n,
         "toxic_terms": (F.col("n_toxic") >= 2) & (400 * F.col("n_toxic") >= n),
+        "stutter": 10 * F.col("n_stutter") > 2 * n,
     }
     failed = F.lit(0).cast("long")
     for name in RULES:
@@ -141,10 +142,11 @@ rep AS (SELECT i, count(DISTINCT p + k) AS n FROM c, (SELECT unnest(range(0, 5))
 m AS (SELECT w.i, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
   len(list_filter(w, lambda x: x <> lower(x) AND length(x) > 1 AND x = upper(x))) AS n_upper, len(list_filter(w, lambda x: ends_with(x, '!'))) AS n_exclaimed,
-  len(list_filter(w, lambda x: lower(trim(x, '.,;:!?"''()')) IN ({listed}))) AS n_toxic FROM w LEFT JOIN rep ON w.i = rep.i),
-f AS (SELECT *, ((n_words < 10)::INT * 1 + (100 * n_repeat_words > 20 * n_words)::INT * 2 + (10 * n_symbols > n_words)::INT * 4 + (10 * n_dup_lines > 3 * n_lines)::INT * 8
+  len(list_filter(w, lambda x: lower(trim(x, '.,;:!?"''()')) IN ({listed}))) AS n_toxic,
+  len(list_filter(range(2, len(w) + 1), lambda k: w[k] = w[k - 1])) AS n_stutter FROM w LEFT JOIN rep ON w.i = rep.i),
+f AS (SELECT *, ((n_words < 10)::INT * 1 + (100 * n_repeat_words > 20 * n_words)::INT * 2 + (10 * n_symbols > n_words)::INT * 4 + (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)::INT * 8
   + (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT * 16 + (10 * n_upper > 3 * n_words)::INT * 32 + (10 * n_exclaimed > 2 * n_words)::INT * 64
-  + (n_toxic >= 2 AND 400 * n_toxic >= n_words)::INT * 128)::BIGINT AS failed FROM m)
+  + (n_toxic >= 2 AND 400 * n_toxic >= n_words)::INT * 128 + (10 * n_stutter > 2 * n_words)::INT * 256)::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
 
