@@ -50,10 +50,10 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source))
 
 
-def mixed_copies(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, seed: str = "mix") -> DataFrame:
-    """``__row`` (the document as a struct), size, source_size, target and copies, a row per document of ``docs``."""
+def mixed_copies(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, seed: str = "mix", keep: tuple[str, ...] = ("*",)) -> DataFrame:
+    """``__row`` (the columns ``keep`` of the document as a struct), size, source_size, target and copies, a row per document of ``docs``."""
     d = docs.select(
-        F.struct("*").alias("__row"),
+        F.struct(*keep).alias("__row"),
         word_count(F.col("text")).alias("size"),
         F.col("source").alias("source"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"),
@@ -91,7 +91,7 @@ def mixed_copies(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, seed: str
 
 def mix_report(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken."""
-    m = mixed_copies(docs.select("doc_id", "source", "text"), **kw)
+    m = mixed_copies(docs, keep=("doc_id", "source"), **kw)
     return m.select("__row.doc_id", "__row.source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

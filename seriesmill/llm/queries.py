@@ -1,7 +1,7 @@
 """The training-data operators' registered queries and their DuckDB counterparts."""
 
-from . import classifier, lm_scoring, mixing, quality_rules, url_filter, warc
+from . import classifier, jaccard_join, lm_scoring, mixing, quality_rules, url_filter, warc
 
-MODULES = (classifier, lm_scoring, mixing, quality_rules, url_filter, warc)
+MODULES = (classifier, jaccard_join, lm_scoring, mixing, quality_rules, url_filter, warc)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
