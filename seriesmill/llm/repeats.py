@@ -11,8 +11,11 @@ minimizers that occur twice send segments at all.
    is all repeats), kept in a table bucketed by text key; later joins on the key
    read it without a shuffle.
 2. Minimizers are counted. One that more than ``HOT`` runs share (a line in a third
-   of all documents) is not a shard: its windows are dealt again by minimizers of
-   longer grams, and at last by the whole window, where equal segments collapse.
+   of all documents) is not a shard: the common grams around it are found, and its
+   windows are dealt again with those grams last in order. Windows that reach out of
+   a common passage then go with a rare gram; those wholly inside it are equal
+   between documents, so their segments collapse. What is still too common without
+   being made of common grams only is dealt by the whole window.
 3. Segments of candidate runs, collapsed per task, go to their shard; there the
    operator's own structure (suffix automaton or suffix array) decides exactly.
 4. The removed ranges come back by text key and are cut out of the text.
@@ -43,24 +46,42 @@ def text_key(text):
     return F.xxhash64(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def window_runs(values: np.ndarray, w: int, k: int, ranges: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, windows, weight) of each run; weight is 2 where the gram occurs again in this text."""
+#: Common grams that are set last; a bound on what is broadcast.
+COMMON = 200_000
+
+
+def marked(n: int, ranges: list[tuple[int, int]]) -> np.ndarray:
+    """Which of n places lie in ranges of (start, length)."""
+    step = np.zeros(n + 1, np.int64)
+    for a, m in ranges:
+        step[a] += 1
+        step[min(n, a + m)] -= 1
+    return np.cumsum(step)[:n] > 0
+
+
+def gram_order(values: np.ndarray, k: int, common: np.ndarray | None) -> np.ndarray:
+    """The hashes that grams are ordered by: 63 bits, common grams (sorted) after all others."""
+    grams = rolled(values, k) >> np.uint64(1)
+    if common is not None and len(common):
+        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        grams = grams | ((common[at] == grams).astype(np.uint64) << np.uint64(63))
+    return grams
+
+
+def window_runs(values: np.ndarray, w: int, k: int, ranges: list[tuple[int, int]] | None = None, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer, first window, windows, weight) of each run; weight is 2 where the gram occurs again in this text. A negative minimizer is a common gram."""
     empty = np.empty(0, np.int64)
     n = len(values) - w + 1
     if n <= 0:
         return empty, empty, empty, empty
-    grams = rolled(values, k)
+    grams = gram_order(values, k, common)
     mini = sliding_min(grams, w - k + 1)
     cut = np.empty(n, bool)
     cut[0] = True
     np.not_equal(mini[1:], mini[:-1], out=cut[1:])
     inside = None
     if ranges is not None:
-        inside = np.zeros(n + 1, np.int64)
-        for a, m in ranges:
-            inside[a] += 1
-            inside[a + m] -= 1
-        inside = np.cumsum(inside)[:n] > 0
+        inside = marked(n, ranges)
         cut[1:] |= inside[1:] != inside[:-1]
     start = np.flatnonzero(cut)
     size = np.diff(np.append(start, n))
@@ -105,8 +126,8 @@ class Repeats:
     decide(segments) -> flags of repeated windows for each (bytes, occurrences) of whole shards.
     """
 
-    def __init__(self, name: str, window: int, grams: tuple[int, ...], split: Callable, values: Callable[[], Callable], packed: Callable, decide: Callable, batch: int):
-        self.name, self.window, self.grams = name, window, grams
+    def __init__(self, name: str, window: int, gram: int, split: Callable, values: Callable[[], Callable], packed: Callable, decide: Callable, batch: int):
+        self.name, self.window, self.gram = name, window, gram
         self.split, self.values, self.packed, self.decide, self.batch = split, values, packed, decide, batch
 
     def texts(self, docs: DataFrame, tables: Tables) -> DataFrame:
@@ -115,18 +136,46 @@ class Repeats:
         t = t.groupBy("k").agg(F.count("*").alias("n"), F.first("text").alias("text"))
         return tables.save_bucketed(t, "texts", "k", shuffle_partitions(docs.sparkSession))
 
-    def runs(self, texts: DataFrame, k: int) -> DataFrame:
+    def common(self, part: DataFrame) -> np.ndarray:
+        """The grams that many of the ranges of part(k, text, ranges) hold. Any set will do, as long as all tasks use the same: what tasks see once each is left out."""
+        w, k, split, make = self.window, self.gram, self.split, self.values
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            values, held, size = make(), [], 0
+
+            def out():
+                grams, counts = np.unique(np.concatenate(held), return_counts=True)
+                keep = counts > 1
+                return pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(counts[keep])], names=["g", "c"])
+
+            for b in batches:
+                for t, ranges in zip(b.column("text"), b.column("ranges").to_pylist(), strict=True):
+                    grams = gram_order(values(split(t.as_py())), k, None)
+                    held.append(grams[marked(len(grams), [(r["s"], r["n"] + w - k) for r in ranges])])
+                    size += len(held[-1])
+                    if size > 2_000_000:
+                        yield out()
+                        held, size = [], 0
+            if held:
+                yield out()
+
+        found = part.mapInArrow(count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") > HOT // 4)
+        rows = found.orderBy(F.col("c").desc(), "g").limit(COMMON).select("g").toPandas()
+        return np.sort(rows["g"].to_numpy(np.int64).view(np.uint64))
+
+    def runs(self, texts: DataFrame, k: int, common: np.ndarray | None = None) -> DataFrame:
         """Runs of texts(k, text) or, where they are given, of the windows in texts(k, text, ranges)."""
+        shared = None if common is None else texts.sparkSession.sparkContext.broadcast(common)
         ranged, w, split, make = "ranges" in texts.columns, self.window, self.split, self.values
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            values = make()
+            values, last = make(), None if shared is None else shared.value
             for b in batches:
                 got: list[list] = [[], [], [], [], []]
                 size = 0
                 ranges = b.column("ranges").to_pylist() if ranged else [None] * len(b)
                 for key, t, r in zip(b.column("k").to_pylist(), b.column("text"), ranges, strict=True):
-                    found = window_runs(values(split(t.as_py())), w, k, None if r is None else [(x["s"], x["n"]) for x in r])
+                    found = window_runs(values(split(t.as_py())), w, k, None if r is None else [(x["s"], x["n"]) for x in r], last)
                     if len(found[0]):
                         for c, x in zip(got, (found[0], np.full(len(found[0]), key), *found[1:]), strict=True):
                             c.append(x)
@@ -145,19 +194,20 @@ class Repeats:
 
     def candidates(self, texts: DataFrame, tables: Tables) -> DataFrame:
         """(k, ranges: array of (s, n, shard)): the runs of each text whose windows may repeat."""
-        kept, part = [], texts.select("k", "text")
-        for level, k in enumerate(self.grams):
-            last = level == len(self.grams) - 1
-            runs = tables.save(self.runs(part, k), f"runs{level}")
+        kept, part, common = [], texts.select("k", "text"), None
+        for level, k in enumerate((self.gram, self.gram, self.window)):
+            runs = tables.save(self.runs(part, k, common if level == 1 else None), f"runs{level}")
             counts = tables.save(runs.groupBy("mini").agg(F.sum("weight").alias("c")).where("c > 1"), f"counts{level}")
-            runs = runs.join(counts, "mini").select("k", "s", "n", F.xxhash64("mini", F.lit(level)).alias("shard"), (F.col("c") > HOT).alias("hot"))
-            found = tables.save(runs, f"found{level}")
+            hot = (F.col("c") > HOT) & (F.col("mini") >= 0) if level < 2 else F.lit(False)
+            found = tables.save(runs.join(counts, "mini").select("k", "s", "n", F.xxhash64("mini", F.lit(level)).alias("shard"), hot.alias("hot")), f"found{level}")
             tables.drop(f"runs{level}", f"counts{level}")
-            kept.append(found if last else found.where(~F.col("hot")))
-            if last or not found.where("hot").limit(1).count():
+            kept.append(found.where(~F.col("hot")))
+            if not found.where("hot").limit(1).count():
                 break
-            hot = found.where("hot").groupBy("k").agg(F.collect_list(F.struct("s", "n")).alias("ranges"))
-            part = texts.select("k", "text").join(hot, "k")
+            ranges = found.where("hot").groupBy("k").agg(F.collect_list(F.struct("s", "n")).alias("ranges"))
+            part = texts.select("k", "text").join(ranges, "k")
+            if level == 0:
+                common = self.common(part)
         out = kept[0]
         for x in kept[1:]:
             out = out.unionByName(x)

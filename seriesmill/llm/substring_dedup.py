@@ -114,7 +114,7 @@ def split(text: str) -> list[bytes]:
 
 
 def words_of(window: int) -> Repeats:
-    return Repeats("words", window, tuple(sorted({max(1, window // 4), max(1, 2 * window // 3), window})), split, lambda: WordHashes().of, lambda u, i, j: b" ".join(u[i:j]), lambda s: decide(s, window), 300_000)
+    return Repeats("words", window, max(1, window // 4), split, lambda: WordHashes().of, lambda u, i, j: b" ".join(u[i:j]), lambda s: decide(s, window), 300_000)
 
 
 def without(words: list[bytes], ranges: list[tuple[int, int]]) -> list[bytes]:

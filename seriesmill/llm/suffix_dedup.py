@@ -105,7 +105,7 @@ def byte_values(data: bytes) -> np.ndarray:
 
 
 def bytes_of(window: int) -> Repeats:
-    return Repeats("bytes", window, tuple(sorted({max(1, window // 6), max(1, 2 * window // 3), window})), str.encode, lambda: byte_values, lambda u, i, j: u[i:j], lambda s: decide(s, window), 500_000)
+    return Repeats("bytes", window, max(1, window // 6), str.encode, lambda: byte_values, lambda u, i, j: u[i:j], lambda s: decide(s, window), 500_000)
 
 
 def without(data: bytes, ranges: list[tuple[int, int]]) -> bytes:
