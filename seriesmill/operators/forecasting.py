@@ -145,7 +145,7 @@ def _check_future(f: Fit, future: DataFrame, h: int | None) -> int:
         raise ValueError(f"future has no column {', '.join(missing)}")
     per = future.groupBy(*f.groups).agg(F.count("*").alias("n"), F.count_distinct(f.date).alias("d"))
     row = per.agg(F.min("n"), F.max("n"), F.max(F.col("n") - F.col("d"))).first()
-    if row[0] is None:
+    if not row[0]:
         raise ValueError("future has no rows")
     if row[2]:
         raise ValueError("future has a date twice in a series")
@@ -165,6 +165,10 @@ def forecast(f: Fit, h: int | None = None, future: DataFrame | None = None, xreg
     """
     if h is None and future is None:
         raise ValueError("give h or future")
+    if h is not None and (isinstance(h, bool) or int(h) != h or h < 1):
+        raise ValueError("h must be a whole number of 1 or more")
+    if xreg_strategy not in XREG:
+        raise ValueError(f"xreg_strategy is one of {', '.join(XREG)}")
     if engine not in ("auto", "native", "pandas"):
         raise ValueError("engine is auto, native or pandas")
     if f.spec.recursive and (bad := trailing_missing(f.history, f.spec.target, f.date, f.groups).limit(3).collect()):
@@ -308,6 +312,5 @@ def _stepwise(f: Fit, grid: DataFrame, on_error: str) -> DataFrame:
             tail.append(out[-1])
         return pdf[kept].assign(__y=out)
 
-    keys = f.groups or [F.lit(0)]
-    done = rows.groupBy(*keys).applyInPandas(run, schema)
+    done = rows.groupBy(*f.groups).applyInPandas(run, schema)
     return done.withColumn("__y", F.when(~F.isnan("__y"), F.col("__y")))
