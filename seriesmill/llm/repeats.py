@@ -299,5 +299,5 @@ class Repeats:
 
     def joined(self, docs: DataFrame, kept: DataFrame) -> DataFrame:
         """Each row of docs, as ``__row``, with what was kept of its text."""
-        rows = docs.withColumn("__k", text_key(F.col("text")))
-        return rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("__k").alias("k")).join(kept, "k").drop("k")
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), text_key(F.col("text")).alias("k"))
+        return rows.join(kept, "k").drop("k")

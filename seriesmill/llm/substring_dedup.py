@@ -143,12 +143,11 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The table with repeated words cut from its texts: a text that loses nothing stays as it is, n_chars (if there) is counted again."""
     repeats, tables = words_of(window), Tables(docs.sparkSession, "substring")
     kept = repeats.cut(docs, tables, lambda w, r: (b" ".join(without(w, r)).decode() if r else None, 1 if r else 0), "__text string, __cut long")
-    rows = repeats.joined(docs, kept).select("__row.*", "__text", "__cut")
-    new = {"text": F.when(F.col("__cut") == 1, F.col("__text")).otherwise(F.col("text"))}
-    rows = rows.withColumns(new)
+    rows, cut, row = repeats.joined(docs, kept), F.col("__cut") == 1, F.col("__row")
+    new = {"text": F.when(cut, F.col("__text")).otherwise(row.getField("text"))}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__cut") == 1, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.drop("__text", "__cut").select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(cut, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(row.getField("n_chars"))
+    return rows.select(*[new.get(c, row.getField(c)).alias(c) for c in docs.columns])
 
 
 def op1_substring_dedup(spark, sf_dir):
