@@ -28,7 +28,7 @@ from ..functions.timeaxis import Frequency, is_time_type
 from ..plans.formula import FeatureSpec, Term, parse
 from .features import apply_terms, build_features, calendar, cleaned, ordered, trend_value
 from .models import OLS, LinearFit, Predictor, capture_schema
-from .panel import TimeSeriesFrame, future_dates, median_step_dates, trailing_missing
+from .panel import TimeSeriesFrame, future_dates, median_step_dates
 
 XREG = ("carry", "zeros", "NA", "error")
 
@@ -171,8 +171,13 @@ def forecast(f: Fit, h: int | None = None, future: DataFrame | None = None, xreg
         raise ValueError(f"xreg_strategy is one of {', '.join(XREG)}")
     if engine not in ("auto", "native", "pandas"):
         raise ValueError("engine is auto, native or pandas")
-    if f.spec.recursive and (bad := trailing_missing(f.history, f.spec.target, f.date, f.groups).limit(3).collect()):
-        raise ValueError(f"trailing NA: the last {f.spec.target!r} is missing in some series, such as {bad[0].asDict()}")
+    if f.spec.recursive:
+        ends = f.history.groupBy(*f.groups).agg(F.max_by(F.col(f.spec.target).isNull(), f.date).alias("gone"), F.count("*").alias("n"))
+        gone, least = ends.agg(F.count_if("gone"), F.min(F.when(F.col("n") > 0, F.col("n")))).first()
+        if gone:
+            raise ValueError(f"trailing NA: the last {f.spec.target!r} is missing in {gone} series")
+        if least is not None and least < f.spec.memory:
+            warnings.warn(f"the shortest series has {least} rows, the formula looks back {f.spec.memory}; its forecasts start missing", stacklevel=2)
     out = f"{f.spec.target}_forecast"
     last = _last(f)
     if future is not None:
