@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, WordHashes, mixed, rolled, shuffle_partitions
+from .common import BASE, Tables, WordHashes, mixed, shuffle_partitions
 
 END = b"\n"  # no word holds a blank, so the end token is none of them
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 HEAD = 100_000
-RATIO = 1.3
+RATIO = 1.5
 BITS_PER_INSERT = 10
 PROBES = 5
 START = np.uint64(0x1234567)
@@ -50,9 +50,14 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
-def bigram_keys(h: np.ndarray) -> np.ndarray:
-    """Key of each token with the one before it (a start mark for the first)."""
-    return rolled(np.concatenate([[START], h]), 2)
+def pair_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Key of each token with the one before it."""
+    return mixed(before + h * BASE)
+
+
+def shifted(h: np.ndarray) -> np.ndarray:
+    """The token before each one of a text; a start mark for the first."""
+    return np.concatenate([[START], h[:-1]])
 
 
 def unigram_keys(h: np.ndarray) -> np.ndarray:
@@ -72,7 +77,7 @@ def positions(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
     a = mixed(keys + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
     b = mixed(a) | np.uint64(1)
     for _ in range(PROBES):
-        yield (a % np.uint64(bits)).astype(np.int64)
+        yield (((a >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)).astype(np.int64)
         a = a + b
 
 
@@ -83,23 +88,21 @@ class Filter:
         self.data, self.shards, self.bits = data, shards, bits
 
     def level_of(self, keys: np.ndarray) -> np.ndarray:
-        """How many levels each key has, 0 where it is absent."""
+        """How many levels each key has, 0 where it is absent; each different key is probed once."""
+        keys, back = np.unique(keys, return_inverse=True)
         out = np.zeros(len(keys), np.int64)
-        at = np.arange(len(keys))
         start = (keys % np.uint64(self.shards)).astype(np.int64) * self.bits
-        level = 0
+        at, level = np.arange(len(keys)), 0
         while len(at):
             level += 1
-            ok = at
-            for i, p in enumerate(positions(keys[at], level, self.bits)):
-                if i == 0:
-                    live = np.ones(len(at), bool)
-                q = start[at] + p
-                live &= (self.data[q >> 3] >> (q & 7).astype(np.uint8)) & 1 == 1
-            ok = at[live]
-            out[ok] = level
-            at = ok
-        return out
+            a = mixed(keys[at] + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
+            b = mixed(a) | np.uint64(1)
+            for _ in range(PROBES):  # the same places as positions(), but only for keys not yet ruled out
+                q = start[at] + (((a >> np.uint64(32)) * np.uint64(self.bits)) >> np.uint64(32)).astype(np.int64)
+                there = (self.data[q >> 3] >> (q & 7).astype(np.uint8)) & 1 == 1
+                at, a, b = at[there], (a + b)[there], b[there]
+            out[at] = level
+        return out[back]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -138,7 +141,8 @@ def bigram_counts(docs: DataFrame, shards: int) -> DataFrame:
 
         for b in batches:
             for t in b.column("text"):
-                k = bigram_keys(hashes.of(tokens(t.as_py())))
+                h = hashes.of(tokens(t.as_py()))
+                k = pair_keys(shifted(h), h)
                 held.append(k)
                 size += len(k)
                 if size > 3_000_000:
@@ -180,8 +184,12 @@ class Model:
         head, counts, f, *rest = parts
         return cls(head, counts, Filter(*f), *rest)
 
-    def score(self, h: np.ndarray, place: np.ndarray, starts: int) -> float:
-        """log10 probability of one text: lower bounds of the counts above, upper bounds below, so that no history's words add up to more than one but for the filter's false positives."""
+    def score(self, h: np.ndarray, place: np.ndarray, first: np.ndarray, starts: int) -> np.ndarray:
+        """log10 probability of each token of some texts, of which ``first`` marks the first tokens.
+
+        Lower bounds of the counts above, upper bounds below, so that no history's
+        words add up to more than one but for the filter's false positives.
+        """
         known = place >= 0
         low = np.where(known, self.head_counts[place], 0).astype(float)
         high = low.copy()
@@ -190,14 +198,15 @@ class Model:
             low[~known] = np.where(q > 0, np.ceil(RATIO ** (q - 1.0)), 0)
             high[~known] = np.where(q > 0, RATIO ** q.astype(float), 0)
         uni = (low + 0.5) / self.denominator
-        q = self.filter.level_of(bigram_keys(h))
+        before, history = shifted(h), np.concatenate([[0.0], high[:-1]])
+        before[first], history[first] = START, starts
+        q = self.filter.level_of(pair_keys(before, h))
         pair = np.where(q > 0, self.least * RATIO ** (q - 1.0), 0)
-        before = np.concatenate([[max(1, starts)], high[:-1]])
-        share = np.minimum(1.0, pair / np.maximum(1.0, before))
-        return float(np.log10(self.weight * share + (1 - self.weight) * uni).sum())
+        share = np.minimum(1.0, pair / np.maximum(1.0, history))
+        return np.log10(self.weight * share + (1 - self.weight) * uni)
 
 
-def train(docs: DataFrame, tables: Tables, *, weight: float = 0.3, filter_mb: int = 128) -> tuple[Model, DataFrame, int]:
+def train(docs: DataFrame, tables: Tables, *, weight: float = 0.3, filter_mb: int = 64) -> tuple[Model, DataFrame, int]:
     """The model of docs(text), the exact counts (token, c), and the number of documents."""
     spark = docs.sparkSession
     shards = shuffle_partitions(spark)
@@ -249,9 +258,9 @@ def train(docs: DataFrame, tables: Tables, *, weight: float = 0.3, filter_mb: in
             yield pd.DataFrame({"shard": [s], "data": [np.packbits(data, bitorder="little").tobytes()]})
 
     both = pairs.withColumn("kind", F.lit(2)).unionByName(hashes.withColumn("kind", F.lit(1)))
-    rows = both.repartition(shards, "shard").mapInPandas(built, "shard long, data binary").toPandas()  # filter_mb at most
+    rows = tables.save(both.repartition(shards, "shard").mapInPandas(built, "shard long, data binary"), "filter")
     data = np.zeros(shards * bits // 8, np.uint8)
-    for s, d in zip(rows["shard"], rows["data"], strict=True):
+    for s, d in rows.toLocalIterator():  # filter_mb in all, a few shards at a time
         data[s * bits // 8 : (s + 1) * bits // 8] = np.frombuffer(d, np.uint8)
     return Model(head, head_counts, Filter(data, shards, bits), least, int(n), int(v), weight), vocabulary, int(texts)
 
@@ -272,7 +281,7 @@ def keyed(shards: int):
 SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, score double, tail array<struct<token:binary,n:int>>"
 
 
-def score_documents(docs: DataFrame, *, weight: float = 0.3, filter_mb: int = 128) -> DataFrame:
+def score_documents(docs: DataFrame, *, weight: float = 0.3, filter_mb: int = 64) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, a row per row of docs(doc_id, text)."""
     spark = docs.sparkSession
     tables = Tables(spark, "lm")
@@ -284,18 +293,42 @@ def score_documents(docs: DataFrame, *, weight: float = 0.3, filter_mb: int = 12
         m, hashes = Model.of(shared.value), WordHashes()
         logs = np.log10((m.head_counts + 0.5) / m.denominator)
         kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
+        names = ["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score", "tail"]
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), kind)
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            for t in b.column("text"):
-                words = tokens(t.as_py())
+            held: list[list[bytes]] = []
+
+            def flush():
+                size = np.array([len(x) for x in held])
+                ends = np.cumsum(size)
+                starts = ends - size
+                words = [w for x in held for w in x]
                 place = np.fromiter(map(m.head.get, words, repeat(-1)), np.int64, len(words))
                 known = place >= 0
-                tail = Counter(words[i] for i in np.flatnonzero(~known))
-                row = (len(words), int(known.sum()), float(logs[place[known]].sum()), m.score(hashes.of(words), place, texts), [{"token": k, "n": c} for k, c in tail.items()])
-                for c, x in zip(cols, row, strict=True):
-                    c.append(x)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), kind)
-            names = ["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score", "tail"]
+                first = np.zeros(len(words), bool)
+                first[starts] = True
+                got = m.score(hashes.of(words), place, first, texts)
+                cols[0] += size.tolist()
+                cols[1] += np.add.reduceat(known.astype(np.int64), starts).tolist()
+                cols[2] += np.add.reduceat(np.where(known, logs[place], 0.0), starts).tolist()
+                cols[3] += np.add.reduceat(got, starts).tolist()
+                rare = np.flatnonzero(~known)
+                bounds = np.searchsorted(rare, np.concatenate([starts, ends[-1:]])).tolist()
+                rare = rare.tolist()
+                for i, j in zip(bounds, bounds[1:], strict=False):
+                    cols[4].append([{"token": k, "n": c} for k, c in Counter([words[x] for x in rare[i:j]]).items()])
+                held.clear()
+
+            size = 0
+            for t in b.column("text"):
+                held.append(tokens(t.as_py()))
+                size += len(held[-1])
+                if size > 200_000:
+                    flush()
+                    size = 0
+            if held:
+                flush()
             yield pa.RecordBatch.from_arrays([b.column(x) for x in names[:3]] + [pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=names)
 
     # the ids given to rows are fixed by writing them
