@@ -1,4 +1,4 @@
-"""Features of an unbounded panel (an extension: the reference works on whole tables only).
+"""Features of an unbounded panel, an extension beyond whole tables.
 
 Each series keeps its last values as state; a new row gets the lags and rolling
 statistics of the rows up to it. Rows of a series are taken in date order within
