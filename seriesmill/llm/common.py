@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,18 +46,22 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.top = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+        self.catalog: dict[str, str] = {}
 
     def path(self, name: str) -> str:
         return f"{self.top}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
         """One sorted file a bucket: later joins and groupings on ``key`` read it without another shuffle."""
         table = f"t_{uuid.uuid4().hex}"
         df.repartition(buckets, key).write.option("compression", "zstd").bucketBy(buckets, key).sortBy(key).option("path", self.path(name)).saveAsTable(table)
+        self.catalog[name] = table
         return self.spark.table(table)
 
     def drop(self, *names: str) -> None:
@@ -65,14 +70,35 @@ class Tables:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+            if name in self.catalog:
+                self.spark.sql(f"DROP TABLE {self.catalog.pop(name)}")
+
+    def kept(self, *prefixes: str) -> list[str]:
+        """The saved tables whose names begin so."""
+        return [n for n in self.names if n.startswith(prefixes)]
+
+
+def row_id(df: DataFrame) -> Column | None:
+    """A number for each row of a table read from files, from its file and place in it: every scan gives the same, however the files are split and whatever executors are lost. None for other tables."""
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        return None
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def word_hash(word: bytes) -> int:
+    """64-bit BLAKE2b."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
 class WordHashes(dict):
-    """64-bit BLAKE2b hash of a word, remembered; forgets all when it holds ``limit`` words, so memory is bounded."""
+    """The hash of a word, remembered; forgets all when it holds ``limit`` words, so memory is bounded."""
 
     def __init__(self, limit: int = 400_000):
         super().__init__()
@@ -81,7 +107,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        self[word] = value = word_hash(word)
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -9,7 +9,7 @@ counts, joined on the driver and broadcast.
 
 Bounds: the filter has at most ``filter_mb``; if the n-grams of the corpus need
 more at ``BITS_PER_INSERT`` bits, the least count of a bigram that is kept rises,
-chosen from a histogram over all of them. The ``HEAD`` most frequent words are
+chosen from a histogram over all of them. Up to ``HEAD`` of the most frequent words are
 broadcast with exact counts; the exact counts of all other words meet their
 documents in a shuffle join, so the base score is exact at every size and no
 frequent word is a join key.
@@ -22,9 +22,10 @@ name, are not read.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Tables, WordHashes, mixed, shuffle_partitions
+from .common import BASE, Tables, WordHashes, mixed, shuffle_partitions, word_hash
 
 END = b"\n"  # no word holds a blank, so the end token is none of them
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -167,6 +168,31 @@ def bigram_counts(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, kind).repartition(shards, "shard").mapInArrow(total, kind)
 
 
+class Words(dict):
+    """Number of each word seen by a task, with its hash and its place among the head words; ``fresh`` empties it when it is large."""
+
+    def __init__(self, head: dict[bytes, int], limit: int = 400_000):
+        super().__init__()
+        self.head, self.limit, self.hashes, self.places = head, limit, array("Q"), array("q")
+
+    def fresh(self) -> None:
+        if len(self) > self.limit:
+            self.clear()
+            self.hashes, self.places = array("Q"), array("q")
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.hashes.append(word_hash(word))
+        self.places.append(self.head.get(word, -1))
+        return n
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.fresh()
+        n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        # copies: an array that numpy looks into cannot grow
+        return np.array(self.hashes, np.uint64)[n], np.array(self.places, np.int64)[n]
+
+
 class Model:
     """What goes to the workers: head words with exact counts, the filter and a few numbers."""
 
@@ -212,7 +238,11 @@ def train(docs: DataFrame, tables: Tables, *, weight: float = 0.3, filter_mb: in
     shards = shuffle_partitions(spark)
     vocabulary = tables.save(word_counts(docs), "words")
     n, v, texts = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("token") == F.lit(END), F.col("c"))), F.lit(0))).first()
-    top = vocabulary.orderBy(F.col("c").desc(), "token").limit(HEAD).toPandas()
+    # the count that at most HEAD words reach, from a histogram of some hundred rows; no sort of the vocabulary
+    bin_ = F.floor(F.log(F.col("c").cast("double")) / F.log(F.lit(1.05))).cast("int")
+    bins = vocabulary.groupBy(bin_.alias("b")).agg(F.count("*").alias("m")).orderBy(F.col("b").desc()).collect()
+    fits = [b for b, total in zip((r.b for r in bins), accumulate(r.m for r in bins), strict=True) if total <= HEAD]
+    top = vocabulary.where(bin_ >= (fits[-1] if fits else 2**30)).toPandas()
     head = {bytes(t): i for i, t in enumerate(top["token"])}
     head_counts = np.concatenate([top["c"].to_numpy(np.int64), [0]])  # place -1 reads the last
 
@@ -262,6 +292,7 @@ def train(docs: DataFrame, tables: Tables, *, weight: float = 0.3, filter_mb: in
     data = np.zeros(shards * bits // 8, np.uint8)
     for s, d in rows.toLocalIterator():  # filter_mb in all, a few shards at a time
         data[s * bits // 8 : (s + 1) * bits // 8] = np.frombuffer(d, np.uint8)
+    tables.drop("pairs", "filter")
     return Model(head, head_counts, Filter(data, shards, bits), least, int(n), int(v), weight), vocabulary, int(texts)
 
 
@@ -290,13 +321,14 @@ def score_documents(docs: DataFrame, *, weight: float = 0.3, filter_mb: int = 64
     shared = spark.sparkContext.broadcast(model.parts())
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hashes = Model.of(shared.value), WordHashes()
+        m = Model.of(shared.value)
+        table = Words(m.head)
         logs = np.log10((m.head_counts + 0.5) / m.denominator)
-        kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
         names = ["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score", "tail"]
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), kind)
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], []]
+            tail_tokens, tail_counts, tail_ends = [], [], [0]
             held: list[list[bytes]] = []
 
             def flush():
@@ -304,11 +336,11 @@ def score_documents(docs: DataFrame, *, weight: float = 0.3, filter_mb: int = 64
                 ends = np.cumsum(size)
                 starts = ends - size
                 words = [w for x in held for w in x]
-                place = np.fromiter(map(m.head.get, words, repeat(-1)), np.int64, len(words))
+                h, place = table.of(words)
                 known = place >= 0
                 first = np.zeros(len(words), bool)
                 first[starts] = True
-                got = m.score(hashes.of(words), place, first, texts)
+                got = m.score(h, place, first, texts)
                 cols[0] += size.tolist()
                 cols[1] += np.add.reduceat(known.astype(np.int64), starts).tolist()
                 cols[2] += np.add.reduceat(np.where(known, logs[place], 0.0), starts).tolist()
@@ -317,7 +349,10 @@ def score_documents(docs: DataFrame, *, weight: float = 0.3, filter_mb: int = 64
                 bounds = np.searchsorted(rare, np.concatenate([starts, ends[-1:]])).tolist()
                 rare = rare.tolist()
                 for i, j in zip(bounds, bounds[1:], strict=False):
-                    cols[4].append([{"token": k, "n": c} for k, c in Counter([words[x] for x in rare[i:j]]).items()])
+                    found = Counter([words[x] for x in rare[i:j]])
+                    tail_tokens.extend(found)
+                    tail_counts.extend(found.values())
+                    tail_ends.append(len(tail_tokens))
                 held.clear()
 
             size = 0
@@ -329,7 +364,9 @@ def score_documents(docs: DataFrame, *, weight: float = 0.3, filter_mb: int = 64
                     size = 0
             if held:
                 flush()
-            yield pa.RecordBatch.from_arrays([b.column(x) for x in names[:3]] + [pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=names)
+            pairs = pa.StructArray.from_arrays([pa.array(tail_tokens, pa.binary()), pa.array(tail_counts, pa.int32())], ["token", "n"])
+            tail = pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([b.column(x) for x in names[:3]] + [pa.array(c, k) for c, k in zip(cols, types, strict=True)] + [tail], names=names)
 
     # the ids given to rows are fixed by writing them
     rows = tables.save(d.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(scored, SCORED), "scored")
