@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, row_id
 
 REVISIT_PROFILE = "http://netpreservefoundation.org/warc/1.0/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -61,21 +61,27 @@ def record(page_id, uid, url, html, digest: str, original, original_uid, date: s
 
 def write_archives(pages: DataFrame, path: str, *, min_payload: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 2000, tables: Tables) -> None:
     """Writes one record per row of pages(page_id, url, html) to ``path``."""
-    uid = F.monotonically_increasing_id()
+    # the table is scanned twice, for headers and for payloads, and both must number its rows alike
+    uid = row_id(pages)
+    if uid is None:
+        pages = tables.save(pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("uid")), "pages")
+        uid = F.col("uid")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", uid.alias("uid"), F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha"), F.length(F.coalesce("html", F.lit("")).cast("binary")).alias("n"))
     # headers only; the first of each digest, and only digests that occur again
     first = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "uid")).alias("first")
     again = p.where(F.col("n") >= min_payload).groupBy("sha").agg(first, F.count("*").alias("c")).where("c > 1").select("sha", "first.page_id", "first.uid")
     again = tables.save(again, "first").select("sha", F.col("page_id").alias("o_id"), F.col("uid").alias("o_uid"))
     q = p.join(again, "sha", "left").withColumn("revisit", (F.col("n") >= min_payload) & F.col("o_uid").isNotNull() & (F.col("o_uid") != F.col("uid")))
-    q = q.select("page_id", "uid", "url", "html", "sha", F.when(F.col("revisit"), F.col("o_id")).alias("o_id"), F.when(F.col("revisit"), F.col("o_uid")).alias("o_uid"))
+    # numbers as text: pandas would turn a whole-number column with nulls into floats
+    text = {"page_id": F.col("page_id"), "uid": F.col("uid"), "o_id": F.when(F.col("revisit"), F.col("o_id")), "o_uid": F.when(F.col("revisit"), F.col("o_uid"))}
+    q = q.select("url", "html", "sha", *[c.cast("string").alias(n) for n, c in text.items()])
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, u, url, html, sha, o, ou in zip(*(b[c].astype(object).where(b[c].notna(), None) for c in b.columns), strict=True):
+            for url, html, sha, i, u, o, ou in zip(*(b[c] for c in b.columns), strict=True):
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                out.append(record(None if i is None else int(i), int(u), url, html, digest, None if o is None else int(o), None if ou is None else int(ou), date))
+                out.append(record(i, u, url, html, digest, o, ou, date))
             yield pd.DataFrame({"value": out})
 
     q.mapInPandas(lines, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
@@ -125,7 +131,7 @@ def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
 
 def op9_warc(spark, sf_dir):
     tables = Tables(spark, "warc")
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     write_archives(pages, tables.path("archives"), tables=tables)
     return read_archives(spark, tables.path("archives"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -126,6 +126,12 @@ def test_warc_round_trip(spark):
     assert got[4].url == "http://c/%20d%0D%0A"
 
 
+def test_warc_large_ids(spark):
+    big = 2**60 + 1
+    got = round_trip(spark, [(big, "u", "a"), (big + 2, "u", "a"), (None, "u", "b")])
+    assert {(r.page_id, r.refers_to) for r in got} == {(big, None), (big + 2, big), (None, None)}
+
+
 def test_warc_repeated_rows_and_threshold(spark):
     same = round_trip(spark, [(1, "u", "abc")] * 3)
     assert sorted(r.record_type for r in same) == ["response", "revisit", "revisit"]
