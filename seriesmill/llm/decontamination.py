@@ -139,6 +139,7 @@ def matches(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8) -> Dat
     common = common.groupBy("wid", "item", "total", "item_total").agg(F.sum(F.least("c", "item_c")).alias("both"))
     similar = common.select("wid", "item", (F.col("both") / (F.col("total") + F.col("item_total") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
     similar = tables.save(similar.join(it.select("item", "item_id"), "item").select("wid", "item_id", "similarity"), "similar")
+    tables.drop("seeds", "windows", "counts", "item_counts", "item_prints", "near")
     best = laid.select("uid", "doc_id", "key", "wid").join(similar, "wid").groupBy("uid", "doc_id", "key", "item_id").agg(F.max("similarity").alias("similarity"))
     return best.select("key", "doc_id", "item_id", "similarity")
 
@@ -157,4 +158,20 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {"op10_decontamination": op10_decontamination}
-ORACLE = {}
+_FOLDED = r"""regexp_extract_all(translate(lower(coalesce(text, '')), '.,;:!?"''()[]{}#*$%&|<>', ''), '[^\x20\x09-\x0D]+')"""
+#: All windows of an item's size in all documents that share a shingle with it.
+ORACLE = {
+    "op10_decontamination": f"""
+WITH d AS (SELECT i, doc_id, w FROM (SELECT row_number() OVER () AS i, doc_id, {_FOLDED} AS w FROM documents) WHERE len(w) >= 5),
+t AS (SELECT k, item_id, w, len(w) AS m FROM (SELECT row_number() OVER () AS k, item_id, {_FOLDED} AS w FROM benchmark) WHERE len(w) >= 5),
+dg AS (SELECT DISTINCT i, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT i, w, unnest(range(1, len(w) - 3)) AS p FROM d)),
+ig AS (SELECT k, g, count(*) AS c FROM (SELECT k, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS p FROM t)) GROUP BY 1, 2),
+x AS (SELECT DISTINCT i, k FROM dg JOIN ig USING (g)),
+s AS (SELECT x.i, x.k, m, d.w, unnest(range(1, greatest(1, len(d.w) - m + 1) + 1)) AS s FROM x JOIN d ON d.i = x.i JOIN t ON t.k = x.k),
+v AS (SELECT i, k, s, m, w, unnest(range(s, least(s + m - 1, len(w)) - 3)) AS p FROM s),
+wg AS (SELECT i, k, s, m, array_to_string(w[p:p + 4], ' ') AS g, count(*) AS c FROM v GROUP BY 1, 2, 3, 4, 5),
+b AS (SELECT i, wg.k, s, m, sum(wg.c) AS total, sum(least(wg.c, coalesce(ig.c, 0))) AS both_ FROM wg LEFT JOIN ig ON ig.k = wg.k AND ig.g = wg.g GROUP BY 1, 2, 3, 4),
+j AS (SELECT i, k, max(both_::DOUBLE / (total + m - 4 - both_)::DOUBLE) AS similarity FROM b GROUP BY 1, 2)
+SELECT doc_id, item_id, max(similarity) AS similarity FROM j JOIN d USING (i) JOIN t ON t.k = j.k WHERE similarity >= 0.8 - 1e-12 GROUP BY d.i, doc_id, item_id
+"""
+}

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, WordHashes, mixed, rolled, shuffle_partitions
+from .common import Tables, WordHashes, mixed, rolled, row_id, shuffle_partitions
 from .components import components
 
 BANDS, ROWS = 40, 5
@@ -157,8 +157,7 @@ def near_copies(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, toler
     """uid, doc_id, class_id, class_key, n_links, n_text_links, first: a row per row of docs(doc_id, text).
 
     n_links: other documents at or above the threshold, copies too; n_text_links:
-    other shingle sets. uid numbers the rows of ``docs`` as monotonically_increasing_id
-    does; first marks the row with the smallest (doc_id, uid) of its class.
+    other shingle sets. uid is row_id(docs), or a number of its own where that is None; first marks the row with the smallest (doc_id, uid) of its class.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "jaccard")
@@ -182,7 +181,8 @@ def near_copies(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, toler
                 bands.append(band_hashes(signature(found)))
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["uid", "doc_id", "k", "bands"])
 
-    d = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    uid = row_id(docs)
+    d = docs.select((F.monotonically_increasing_id() if uid is None else uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = tables.save(d.mapInArrow(sketch, "uid long, doc_id long, k long, bands array<long>"), "rows")
 
     # buckets of two or more sets, as stars around their smallest
@@ -254,7 +254,9 @@ def near_copies(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, toler
     out = rows.select("uid", "doc_id", "k").join(keys, "k", "left")
     best = out.where(F.col("k").isNotNull()).groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best"))
     best = tables.save(best.select("class_key", F.col("best.doc_id").alias("b_id"), F.col("best.uid").alias("b_uid")), "best")
-    out = tables.save(out, "members").join(best, "class_key", "left")
+    members = tables.save(out, "members")
+    tables.drop("rows", "heads", "sizes", "groups", "links", "keys", *tables.kept("coarse-", "classes-"))
+    out = members.join(best, "class_key", "left")
     return out.select(
         "uid", "doc_id", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("b_id")).alias("class_id"), "class_key",
         F.coalesce(F.col("n") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
@@ -267,4 +269,16 @@ def op8_jaccard_join(spark, sf_dir):
 
 
 QUERIES = {"op8_jaccard_join": op8_jaccard_join}
-ORACLE = {}
+ORACLE = {
+    "op8_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT i, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT i, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT i, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS s FROM g GROUP BY 1),
+c AS (SELECT a.i AS a, b.i AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.i <> b.i GROUP BY 1, 2),
+e AS (SELECT a, b, y.s AS s, x.s <> y.s AS other FROM c JOIN n x ON x.i = a JOIN n y ON y.i = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+r(i, j) AS (SELECT i, i FROM d UNION SELECT r.i, e.b FROM r JOIN e ON e.a = r.j),
+k AS (SELECT r.i, min(d.doc_id) AS class_id FROM r JOIN d ON d.i = r.j GROUP BY 1),
+l AS (SELECT a, count(*) AS links, count(DISTINCT s) FILTER (WHERE other) AS texts FROM e GROUP BY 1)
+SELECT doc_id, class_id, coalesce(links, 0)::BIGINT AS n_links, coalesce(texts, 0)::BIGINT AS n_text_links FROM d JOIN k USING (i) LEFT JOIN l ON l.a = d.i
+"""
+}

@@ -295,7 +295,9 @@ class Repeats:
                 cols = list(zip(*out, strict=True)) or [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([b.column("k"), *(pa.array(x, y) for x, y in zip(cols, types, strict=True))], names=["k", *names])
 
-        return tables.save(texts.join(cuts, "k", "left").mapInArrow(rows, f"k long, {kind}"), "kept")
+        kept = tables.save(texts.join(cuts, "k", "left").mapInArrow(rows, f"k long, {kind}"), "kept")
+        tables.drop("texts", "cuts", "found0", "found1", "found2")
+        return kept
 
     def joined(self, docs: DataFrame, kept: DataFrame) -> DataFrame:
         """Each row of docs, as ``__row``, with what was kept of its text."""

@@ -155,4 +155,14 @@ def op1_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup}
-ORACLE = {}
+ORACLE = {
+    "op1_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT i, p, array_to_string(w[p:p + 34], ' ') AS g FROM (SELECT i, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+r AS (SELECT i, p FROM (SELECT i, p, count(*) OVER (PARTITION BY g) AS n FROM s) WHERE n > 1),
+k AS (SELECT DISTINCT i, p + j AS q FROM r, (SELECT unnest(range(0, 35)) AS j)),
+x AS (SELECT i, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d),
+t AS (SELECT x.i, string_agg(word, ' ' ORDER BY q) AS kept, count(*) AS n FROM x ANTI JOIN k ON x.i = k.i AND x.q = k.q GROUP BY x.i)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (i)
+"""
+}

@@ -133,4 +133,18 @@ def op2_suffix_dedup(spark, sf_dir):
 
 
 QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}
-ORACLE = {}
+ORACLE = {
+    "op2_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT *, octet_length(b) AS n FROM d),
+w AS (SELECT i, p, md5(array_slice(b, p, p + 399)) AS g FROM (SELECT i, b, unnest(range(1, n - 398)) AS p FROM n WHERE n >= 400)),
+r AS (SELECT i, p FROM (SELECT i, p, count(*) OVER (PARTITION BY g) AS c FROM w) WHERE c > 1),
+s AS (SELECT i, p, sum(fresh) OVER (PARTITION BY i ORDER BY p) AS run FROM (SELECT i, p, CASE WHEN p - lag(p) OVER (PARTITION BY i ORDER BY p) <= 400 THEN 0 ELSE 1 END AS fresh FROM r)),
+c AS (SELECT i, min(p) AS a, max(p) + 400 AS z FROM s GROUP BY i, run),
+e AS (SELECT i, z AS start FROM c UNION ALL SELECT i, 1 FROM n),
+k AS (SELECT e.i, e.start, coalesce(min(c.a), any_value(n.n) + 1) AS stop FROM e JOIN n ON n.i = e.i LEFT JOIN c ON c.i = e.i AND c.a >= e.start GROUP BY 1, 2),
+t AS (SELECT k.i, string_agg(CASE WHEN stop > start THEN hex(array_slice(b, start, stop - 1)) ELSE '' END, '' ORDER BY start) AS kept FROM k JOIN n ON n.i = k.i GROUP BY 1),
+u AS (SELECT i, sum(z - a) AS gone, count(*) AS spans FROM c GROUP BY 1)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM n JOIN t USING (i) LEFT JOIN u USING (i)
+"""
+}
