@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.llm import decontamination, jaccard_join, mixing, quality_rules, substring_dedup
-from seriesmill.llm.common import Tables
+from seriesmill.llm.common import Tables, row_id
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id stays; documents without words are no copies."""
-    first = jaccard_join.near_copies(docs.select("doc_id", "text")).where("first").select(F.col("uid").alias("__uid"))
+    uid = row_id(docs)
+    if uid is None:  # not read from files: number the rows once
+        docs = Tables(spark, "docs").save(docs, "rows")
+        uid = row_id(docs)
+    first = jaccard_join.near_copies(docs).where("first").select(F.col("uid").alias("__uid"))
     first = Tables(spark, "first").save(first, "rows")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.monotonically_increasing_id().alias("__uid"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), uid.alias("__uid"))
     return rows.join(first, "__uid", "left_semi").select("__row.*")
 
 
