@@ -102,7 +102,7 @@ def borrow(df: DataFrame, column: str, date: str, groups: Sequence[str], *, meth
         raise ValueError(f"unknown method {method!r}")
     g = df.select(*[F.col(c).alias(f"g_{c}") for c in groups], F.col(date).alias("__d"), F.col(column).cast("double").alias("gy"))
     p = df.where(F.col(column).isNotNull()).select(*[F.col(c).alias(f"p_{c}") for c in groups], F.col(date).alias("__d"), F.col(column).cast("double").alias("py"))
-    other = ~F.struct(*[f"g_{c}" for c in groups]).eqNullSafe(F.struct(*[f"p_{c}" for c in groups]))
+    other = ~_all_equal([f"g_{c}" for c in groups], [f"p_{c}" for c in groups])
     allowed = _neighbours(groups, neighbors)
     if allowed is not None:
         other = other & allowed
