@@ -5,11 +5,12 @@ unigrams and bigrams are kept in one Bloom filter: an n-gram of count c is
 inserted with the levels 1..q, q = 1 + floor(log_ratio(c / least)), and its count
 is read back by probing level after level until one is absent. The filter is
 built in shards of the n-gram hash, each by the task that holds the shard's
-counts, joined on the driver and broadcast.
+counts, and has ``BITS_PER_INSERT`` bits for each insert at every size.
 
-Bounds: the filter has at most ``filter_mb``; if the n-grams of the corpus need
-more at ``BITS_PER_INSERT`` bits, the least count of a bigram that is kept rises,
-chosen from a histogram over all of them. Up to ``HEAD`` of the most frequent words are
+Bounds: a filter of at most ``filter_mb`` is joined on the driver and broadcast.
+A larger one stays in its shards: the different n-grams of some 200,000 tokens at a
+time are shuffled to them and their levels back, which gives the same scores. The
+least count of a bigram, ``LEAST``, is the same at every size. Up to ``HEAD`` of the most frequent words are
 broadcast with exact counts; the exact counts of all other words meet their
 documents in a shuffle join, so the base score is exact at every size and no
 frequent word is a join key.
@@ -22,6 +23,7 @@ name, are not read.
 
 from __future__ import annotations
 
+import gc
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -40,6 +42,7 @@ FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 HEAD = 100_000
 RATIO = 1.5
 BITS_PER_INSERT = 10
+LEAST = 2  # count from which bigrams are kept
 PROBES = 5
 START = np.uint64(0x1234567)
 ONE = np.uint64(0xA5A5A5A5A5A5A5A5)  # sets unigram keys apart from bigram keys
@@ -106,6 +109,24 @@ class Filter:
         return out[back]
 
 
+class Answers:
+    """The levels that the shards gave for some keys, in place of the filter."""
+
+    def __init__(self, keys: np.ndarray, found: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.found = keys[order], found[order].astype(np.int64)
+
+    def level_of(self, keys: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.keys, keys)]
+
+
+def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts keys shard by shard, and where each shard begins and the last ends."""
+    shard = (keys % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(token, c) over docs(text); counted in each partition before the shuffle."""
 
@@ -126,17 +147,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+LEVELS = "shard long, keys binary, levels binary, inserts long"
+
+
 def bigram_counts(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, keys, counts): the bigrams of docs(text) that occur twice or more, as sorted arrays, a row per shard."""
+    """(shard, keys, levels, inserts): the bigrams of docs(text) that occur LEAST times or more, as sorted arrays, a row per shard."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(), [], 0
 
         def out():
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            shard = (keys % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            keys, counts, ends = keys[order], counts[order].astype(np.uint32), np.searchsorted(shard[order], np.arange(shards + 1))
+            order, ends = by_shard(keys, shards)
+            keys, counts = keys[order], counts[order].astype(np.uint32)
             rows = [(s, keys[i:j].tobytes(), counts[i:j].tobytes()) for s, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "counts"])
 
@@ -161,11 +184,12 @@ def bigram_counts(docs: DataFrame, shards: int) -> DataFrame:
             got = parts.pop(s)
             keys, at = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
             counts = np.bincount(at, weights=np.concatenate([x[1] for x in got]), minlength=len(keys)).astype(np.int64)
-            keep = counts >= 2
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([keys[keep].tobytes()], pa.binary()), pa.array([counts[keep].tobytes()], pa.binary())], names=["shard", "keys", "counts"])
+            keep = counts >= LEAST
+            q = levels(counts[keep], LEAST)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([keys[keep].tobytes()], pa.binary()), pa.array([q.astype(np.uint8).tobytes()], pa.binary()), pa.array([int(q.sum())], pa.int64())], names=["shard", "keys", "levels", "inserts"])
 
     kind = "shard long, keys binary, counts binary"
-    return docs.select("text").mapInArrow(count, kind).repartition(shards, "shard").mapInArrow(total, kind)
+    return docs.select("text").mapInArrow(count, kind).repartition(shards, "shard").mapInArrow(total, LEVELS)
 
 
 class Words(dict):
@@ -192,18 +216,23 @@ class Words(dict):
         # copies: an array that numpy looks into cannot grow
         return np.array(self.hashes, np.uint64)[n], np.array(self.places, np.int64)[n]
 
+    def part(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the words among the different ones, and hashes and places of those; for words that ``of`` was asked for last."""
+        n, back = np.unique(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), return_inverse=True)
+        return back.astype(np.uint32), np.array(self.hashes, np.uint64)[n], np.array(self.places, np.int64)[n]
+
 
 class Model:
-    """What goes to the workers: head words with exact counts, the filter and a few numbers."""
+    """What goes to the workers: head words with exact counts, the filter (its data is None where it stays in shards) and a few numbers."""
 
-    def __init__(self, head: dict[bytes, int], head_counts: np.ndarray, filter_: Filter, least: int, n: int, v: int, weight: float):
-        self.head, self.head_counts, self.filter, self.least, self.n, self.v, self.weight = head, head_counts, filter_, least, n, v, weight
+    def __init__(self, head: dict[bytes, int], head_counts: np.ndarray, filter_: Filter | Answers, n: int, v: int, weight: float):
+        self.head, self.head_counts, self.filter, self.n, self.v, self.weight = head, head_counts, filter_, n, v, weight
         self.denominator = n + 0.5 * (v + 1)
 
     def parts(self) -> tuple:
         """Plain values, for a broadcast: those are pickled by reference to their classes."""
         f = self.filter
-        return self.head, self.head_counts, (f.data, f.shards, f.bits), self.least, self.n, self.v, self.weight
+        return self.head, self.head_counts, (f.data, f.shards, f.bits), self.n, self.v, self.weight
 
     @classmethod
     def of(cls, parts: tuple) -> Model:
@@ -227,10 +256,21 @@ class Model:
         before, history = shifted(h), np.concatenate([[0.0], high[:-1]])
         before[first], history[first] = START, starts
         q = self.filter.level_of(pair_keys(before, h))
-        pair = np.where(q > 0, self.least * RATIO ** (q - 1.0), 0)
+        pair = np.where(q > 0, LEAST * RATIO ** (q - 1.0), 0)
         share = np.minimum(1.0, pair / np.maximum(1.0, history))
         return np.log10(self.weight * share + (1 - self.weight) * uni)
 
+    def asked(self, h: np.ndarray, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different keys that score() looks up, shard by shard, and where each shard begins and the last ends."""
+        before = shifted(h)
+        before[first] = START
+        keys = np.unique(np.concatenate([unigram_keys(h[place < 0]), pair_keys(before, h)]))
+        order, ends = by_shard(keys, self.filter.shards)
+        return keys[order], ends
+
+
+FILTER = "shard long, data binary"
+
 
 def train(docs: DataFrame, tables: Tables, *, weight: float = 0.3, filter_mb: int = 64) -> tuple[Model, DataFrame, int]:
     """The model of docs(text), the exact counts (token, c), and the number of documents."""
@@ -248,36 +288,17 @@ def train(docs: DataFrame, tables: Tables, *, weight: float = 0.3, filter_mb: in
 
     pairs = tables.save(bigram_counts(docs, shards), "pairs")
 
-    def spectrum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for c in b["counts"]:
-                lev, m = np.unique(levels(np.frombuffer(c, np.int64), 1), return_counts=True)
-                yield pd.DataFrame({"level": lev, "m": m})
-
-    seen = pairs.select("counts").mapInPandas(spectrum, "level long, m long").groupBy("level").agg(F.sum("m").alias("m")).orderBy("level").toPandas()  # a few dozen rows
-    rare = vocabulary.select((F.lit(1) + F.floor(F.log(F.col("c").cast("double")) / F.log(F.lit(RATIO)) + 1e-9)).alias("q")).agg(F.coalesce(F.sum("q"), F.lit(0))).first()[0]
-    room = filter_mb * 8_000_000 / BITS_PER_INSERT
-    least = 2
-    while True:
-        over = seen["level"] - (levels(np.array([least]), 1)[0] - 1)
-        inserts = int(rare) + int((seen["m"] * over.clip(lower=0)).sum())
-        if inserts <= room or not (over > 0).any():
-            break
-        least = int(np.ceil(least * RATIO))
-    # what unigrams alone would overfill is a smaller number of bits an insert, never a larger filter
-    bits = max(64, min(filter_mb * 8_000_000, inserts * BITS_PER_INSERT) // shards // 8 * 8)
-
-    hashes = vocabulary.select("token", "c").mapInPandas(keyed(shards), "shard long, keys binary, counts binary")
+    hashes = tables.save(vocabulary.select("token", "c").mapInPandas(keyed(shards), LEVELS), "hashes")
+    both = pairs.unionByName(hashes)
+    inserts = both.agg(F.coalesce(F.sum("inserts"), F.lit(0))).first()[0]
+    bits = max(64, -(-inserts * BITS_PER_INSERT // (shards * 8)) * 8)
 
     def built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: dict[int, np.ndarray] = {}
         for b in batches:
-            for s, kind, keys, counts in zip(b["shard"], b["kind"], b["keys"], b["counts"], strict=True):
+            for s, keys, found in zip(b["shard"], b["keys"], b["levels"], strict=True):
                 data = done.setdefault(int(s), np.zeros(bits, bool))
-                k, c = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
-                floor = 1 if kind == 1 else least
-                k, c = k[c >= floor], c[c >= floor]
-                q = levels(c, floor)
+                k, q = np.frombuffer(keys, np.uint64), np.frombuffer(found, np.uint8)
                 level = 1
                 while len(k):
                     for p in positions(k, level, bits):
@@ -287,13 +308,15 @@ def train(docs: DataFrame, tables: Tables, *, weight: float = 0.3, filter_mb: in
         for s, data in done.items():
             yield pd.DataFrame({"shard": [s], "data": [np.packbits(data, bitorder="little").tobytes()]})
 
-    both = pairs.withColumn("kind", F.lit(2)).unionByName(hashes.withColumn("kind", F.lit(1)))
-    rows = tables.save(both.repartition(shards, "shard").mapInPandas(built, "shard long, data binary"), "filter")
-    data = np.zeros(shards * bits // 8, np.uint8)
-    for s, d in rows.toLocalIterator():  # filter_mb in all, a few shards at a time
-        data[s * bits // 8 : (s + 1) * bits // 8] = np.frombuffer(d, np.uint8)
-    tables.drop("pairs", "filter")
-    return Model(head, head_counts, Filter(data, shards, bits), least, int(n), int(v), weight), vocabulary, int(texts)
+    rows = tables.save(both.select("shard", "keys", "levels").repartition(shards, "shard").mapInPandas(built, FILTER), "filter")
+    tables.drop("pairs", "hashes")
+    data = None
+    if shards * bits <= filter_mb * 8_000_000:
+        data = np.zeros(shards * bits // 8, np.uint8)
+        for s, d in rows.toLocalIterator():  # filter_mb in all, a few shards at a time
+            data[s * bits // 8 : (s + 1) * bits // 8] = np.frombuffer(d, np.uint8)
+        tables.drop("filter")
+    return Model(head, head_counts, Filter(data, shards, bits), int(n), int(v), weight), vocabulary, int(texts)
 
 
 def keyed(shards: int):
@@ -301,19 +324,97 @@ def keyed(shards: int):
         hashes = WordHashes()
         for b in batches:
             keys, c = unigram_keys(hashes.of(list(map(bytes, b["token"])))), b["c"].to_numpy(np.int64)
-            shard = (keys % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            ends = np.searchsorted(shard[order], np.arange(shards + 1))
-            yield pd.DataFrame([(s, keys[order[i:j]].tobytes(), c[order[i:j]].tobytes()) for s, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i], columns=["shard", "keys", "counts"])
+            order, ends = by_shard(keys, shards)
+            keys, q = keys[order], levels(c[order], 1)
+            yield pd.DataFrame([(s, keys[i:j].tobytes(), q[i:j].astype(np.uint8).tobytes(), int(q[i:j].sum())) for s, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i], columns=["shard", "keys", "levels", "inserts"])
 
     return rows
 
 
 SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, score double, tail array<struct<token:binary,n:int>>"
+#: The texts of one flush, for a filter that stays in shards; in the row of the first of them.
+PART = "part struct<uids:binary,sizes:binary,words:binary,hashes:binary,places:binary>"
+PARTS = ("uids", "sizes", "words", "hashes", "places")
+
+
+def opened(part: dict) -> tuple[np.ndarray, ...]:
+    """uids and starts of the texts of a part; hash, place and whether it begins a text, of each of its tokens."""
+    uids, sizes, words, hashes, places = (np.frombuffer(part[x], t) for x, t in zip(PARTS, (np.int64, np.int64, np.uint32, np.uint64, np.int64), strict=True))
+    starts = np.cumsum(sizes) - sizes
+    first = np.zeros(len(words), bool)
+    first[starts] = True
+    return uids, starts, hashes[words], places[words], first
+
+
+def forget(spark) -> None:
+    """Shuffle files that nothing reads any more go when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def looked_up(rows: DataFrame, filter_: DataFrame, tables: Tables, shared, texts: int) -> DataFrame:
+    """(uid, score) of the texts in rows(uid, part), with the filter's shards left where they are; a part's number is the uid of its row."""
+    shards = Model.of(shared.value).filter.shards
+    parts = rows.where(F.col("part").isNotNull()).select(F.col("uid").alias("chunk"), "part")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model.of(shared.value)
+        for b in batches:
+            for chunk, part in zip(b.column("chunk"), b.column("part"), strict=True):
+                _, _, h, place, first = opened(part.as_py())
+                keys, ends = m.asked(h, place, first)
+                own = [(s, chunk.as_py(), keys[i:j].tobytes()) for s, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*own, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "chunk", "data"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, own, f = Model.of(shared.value).filter.bits, None, None
+        for b in batches:
+            chunks, at, out = b.column("chunk").to_pylist(), b.column("shard").to_pylist(), []
+            for s, chunk, data in zip(at, chunks, b.column("data"), strict=True):
+                if chunk is None:  # first among the rows of its shard
+                    own, f = s, Filter(np.frombuffer(data.as_py(), np.uint8), 1, bits)
+                else:
+                    keys = np.frombuffer(data.as_py(), np.uint64)
+                    found = f.level_of(keys) if s == own else np.zeros(len(keys))  # no n-gram of the training texts is in that shard
+                    out.append((s, chunk, found.astype(np.uint8).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "chunk", "data"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model.of(shared.value)
+        part, found = None, []
+
+        def scores():
+            uids, starts, h, place, first = opened(part)
+            keys, _ = m.asked(h, place, first)
+            m.filter = Answers(keys, np.frombuffer(b"".join(found), np.uint8))
+            got = np.add.reduceat(m.score(h, place, first, texts), starts)
+            m.filter = whole
+            return pa.RecordBatch.from_arrays([pa.array(uids), pa.array(got)], names=["uid", "score"])
+
+        whole = m.filter
+        for b in batches:
+            for p, data in zip(b.column("part"), b.column("data"), strict=True):
+                if p.is_valid:  # first among the rows of its chunk
+                    if part is not None:
+                        yield scores()
+                    part, found = p.as_py(), []
+                else:
+                    found.append(data.as_py())
+        if part is not None:
+            yield scores()
+
+    kind = "shard long, chunk long, data binary"
+    asks = parts.mapInArrow(ask, kind).unionByName(filter_.select("shard", F.lit(None).cast("long").alias("chunk"), "data"))
+    forget(rows.sparkSession)
+    answers = tables.save(asks.repartition(shards, "shard").sortWithinPartitions("shard", F.col("chunk").asc_nulls_first()).mapInArrow(answer, kind), "answers")
+    forget(rows.sparkSession)
+    both = parts.select(F.lit(-1).cast("long").alias("shard"), "chunk", F.lit(None).cast("binary").alias("data"), "part").unionByName(answers, allowMissingColumns=True)
+    return both.repartition(shards, "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(finish, "uid long, score double")
 
 
 def score_documents(docs: DataFrame, *, weight: float = 0.3, filter_mb: int = 64) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, a row per row of docs(doc_id, text)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, a row per row of docs(doc_id, text). filter_mb: the largest filter that is broadcast."""
     spark = docs.sparkSession
     tables = Tables(spark, "lm")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
@@ -324,12 +425,14 @@ def score_documents(docs: DataFrame, *, weight: float = 0.3, filter_mb: int = 64
         m = Model.of(shared.value)
         table = Words(m.head)
         logs = np.log10((m.head_counts + 0.5) / m.denominator)
-        names = ["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score", "tail"]
+        names = ["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score", "tail", "part"]
+        kinds = pa.struct([(x, pa.binary()) for x in PARTS])
         types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         for b in batches:
             cols: list[list] = [[], [], [], []]
             tail_tokens, tail_counts, tail_ends = [], [], [0]
             held: list[list[bytes]] = []
+            uids, parts = b.column("uid").to_numpy(), []
 
             def flush():
                 size = np.array([len(x) for x in held])
@@ -340,7 +443,13 @@ def score_documents(docs: DataFrame, *, weight: float = 0.3, filter_mb: int = 64
                 known = place >= 0
                 first = np.zeros(len(words), bool)
                 first[starts] = True
-                got = m.score(h, place, first, texts)
+                if m.filter.data is None:
+                    own = uids[len(cols[0]) : len(cols[0]) + len(held)]
+                    parts.extend([dict(zip(PARTS, (x.tobytes() for x in (own, size, *table.part(words))), strict=True))] + [None] * (len(held) - 1))
+                    got = np.zeros(len(words))
+                else:
+                    parts.extend([None] * len(held))
+                    got = m.score(h, place, first, texts)
                 cols[0] += size.tolist()
                 cols[1] += np.add.reduceat(known.astype(np.int64), starts).tolist()
                 cols[2] += np.add.reduceat(np.where(known, logs[place], 0.0), starts).tolist()
@@ -366,10 +475,16 @@ def score_documents(docs: DataFrame, *, weight: float = 0.3, filter_mb: int = 64
                 flush()
             pairs = pa.StructArray.from_arrays([pa.array(tail_tokens, pa.binary()), pa.array(tail_counts, pa.int32())], ["token", "n"])
             tail = pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([b.column(x) for x in names[:3]] + [pa.array(c, k) for c, k in zip(cols, types, strict=True)] + [tail], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(x) for x in names[:3]] + [pa.array(c, k) for c, k in zip(cols, types, strict=True)] + [tail, pa.array(parts, kinds)], names=names)
 
     # the ids given to rows are fixed by writing them
-    rows = tables.save(d.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(scored, SCORED), "scored")
+    rows = tables.save(d.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(scored, f"{SCORED}, {PART}"), "scored")
+    if model.filter.data is None:
+        filter_ = spark.read.schema(FILTER).parquet(tables.path("filter"))
+        scores = tables.save(looked_up(rows.select("uid", "part"), filter_, tables, shared, texts), "scores")
+        tables.drop("filter", "answers")
+        rows = rows.drop("score").join(scores, "uid")
+    rows = rows.drop("part")
     tail = rows.select("uid", F.explode("tail").alias("x")).select("uid", "x.token", "x.n").join(vocabulary, "token", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / model.denominator)
     tail = tail.groupBy("uid").agg(F.sum(F.col("n") * log).alias("tail_sum"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"))

@@ -132,6 +132,18 @@ def test_lm_is_a_probability(spark):
         assert 0.3 < total <= 1.001
 
 
+def test_lm_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    """A filter larger than filter_mb keeps every n-gram and gives the same scores."""
+    monkeypatch.setattr(lm_scoring, "HEAD", 50)  # most words are read from the filter
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(prose(rng, int(n)))) for i, n in enumerate(rng.integers(0, 80, 150))] + [(900, None), (900, ""), (None, "w1 w2 w3"), (901, "w1 w2 " * 3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    one, other = (sorted(map(tuple, lm_scoring.score_documents(docs, filter_mb=mb).collect()), key=str) for mb in (64, 0))
+    assert one == other and len(one) == len(rows)
+    few = spark.createDataFrame([(0, "a"), (1, "b c d e f g h")], DOCS)  # shards without any n-gram of the training texts
+    assert all(r.score < 0 for r in lm_scoring.score_documents(few, filter_mb=0).collect())
+
+
 def test_filter_reads_back_levels():
     rng = np.random.default_rng(1)
     keys, q = rng.integers(0, 2**63, 3000).astype(np.uint64), rng.integers(1, 9, 3000)
