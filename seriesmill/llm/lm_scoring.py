@@ -2,15 +2,15 @@
 
 The model is a bigram model interpolated with unigrams. Quantised counts of
 unigrams and bigrams are kept in one Bloom filter: an n-gram of count c is
-inserted with the levels 1..q, q = 1 + floor(log_ratio(c / least)), and its count
+inserted with the levels 1..q, q = 1 + floor(log_ratio(c)), and its count
 is read back by probing level after level until one is absent. The filter is
 built in shards of the n-gram hash, each by the task that holds the shard's
 counts, and has ``BITS_PER_INSERT`` bits for each insert at every size.
 
 Bounds: a filter of at most ``filter_mb`` is joined on the driver and broadcast.
 A larger one stays in its shards: the different n-grams of some 200,000 tokens at a
-time are shuffled to them and their levels back, which gives the same scores. The
-least count of a bigram, ``LEAST``, is the same at every size. Up to ``HEAD`` of the most frequent words are
+time are shuffled to them and their levels back, which gives the same scores. All
+n-grams of the training texts are kept, those seen once too. Up to ``HEAD`` of the most frequent words are
 broadcast with exact counts; the exact counts of all other words meet their
 documents in a shuffle join, so the base score is exact at every size and no
 frequent word is a join key.
@@ -42,7 +42,6 @@ FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 HEAD = 100_000
 RATIO = 1.5
 BITS_PER_INSERT = 10
-LEAST = 2  # count from which bigrams are kept
 PROBES = 5
 START = np.uint64(0x1234567)
 ONE = np.uint64(0xA5A5A5A5A5A5A5A5)  # sets unigram keys apart from bigram keys
@@ -68,8 +67,8 @@ def unigram_keys(h: np.ndarray) -> np.ndarray:
     return mixed(h ^ ONE)
 
 
-def levels(counts: np.ndarray, least: int) -> np.ndarray:
-    return 1 + np.floor(np.log(counts / least) / np.log(RATIO) + 1e-9).astype(np.int64)
+def levels(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(np.log(counts) / np.log(RATIO) + 1e-9).astype(np.int64)
 
 
 def held_out(doc_id):
@@ -151,7 +150,7 @@ LEVELS = "shard long, keys binary, levels binary, inserts long"
 
 
 def bigram_counts(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, keys, levels, inserts): the bigrams of docs(text) that occur LEAST times or more, as sorted arrays, a row per shard."""
+    """(shard, keys, levels, inserts): the bigrams of docs(text), as sorted arrays, a row per shard."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(), [], 0
@@ -184,9 +183,8 @@ def bigram_counts(docs: DataFrame, shards: int) -> DataFrame:
             got = parts.pop(s)
             keys, at = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
             counts = np.bincount(at, weights=np.concatenate([x[1] for x in got]), minlength=len(keys)).astype(np.int64)
-            keep = counts >= LEAST
-            q = levels(counts[keep], LEAST)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([keys[keep].tobytes()], pa.binary()), pa.array([q.astype(np.uint8).tobytes()], pa.binary()), pa.array([int(q.sum())], pa.int64())], names=["shard", "keys", "levels", "inserts"])
+            q = levels(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([q.astype(np.uint8).tobytes()], pa.binary()), pa.array([int(q.sum())], pa.int64())], names=["shard", "keys", "levels", "inserts"])
 
     kind = "shard long, keys binary, counts binary"
     return docs.select("text").mapInArrow(count, kind).repartition(shards, "shard").mapInArrow(total, LEVELS)
@@ -256,7 +254,7 @@ class Model:
         before, history = shifted(h), np.concatenate([[0.0], high[:-1]])
         before[first], history[first] = START, starts
         q = self.filter.level_of(pair_keys(before, h))
-        pair = np.where(q > 0, LEAST * RATIO ** (q - 1.0), 0)
+        pair = np.where(q > 0, RATIO ** (q - 1.0), 0)
         share = np.minimum(1.0, pair / np.maximum(1.0, history))
         return np.log10(self.weight * share + (1 - self.weight) * uni)
 
@@ -325,7 +323,7 @@ def keyed(shards: int):
         for b in batches:
             keys, c = unigram_keys(hashes.of(list(map(bytes, b["token"])))), b["c"].to_numpy(np.int64)
             order, ends = by_shard(keys, shards)
-            keys, q = keys[order], levels(c[order], 1)
+            keys, q = keys[order], levels(c[order])
             yield pd.DataFrame([(s, keys[i:j].tobytes(), q[i:j].astype(np.uint8).tobytes(), int(q[i:j].sum())) for s, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i], columns=["shard", "keys", "levels", "inserts"])
 
     return rows

@@ -144,6 +144,22 @@ def test_lm_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
     assert all(r.score < 0 for r in lm_scoring.score_documents(few, filter_mb=0).collect())
 
 
+def test_lm_keeps_bigrams_seen_once(spark):
+    """Words of equal counts, of which two met once in training: together they score above what never met."""
+    docs = spark.createDataFrame([("aa bb cc dd ee ff gg hh",)], "text string")
+    m, _, texts = lm_scoring.train(docs, Tables(spark, "lm-once"))
+    hashes = WordHashes()
+
+    def last(*words):
+        words = [w.encode() for w in words]
+        place = np.array([m.head.get(x, -1) for x in words])
+        return m.score(hashes.of(words), place, np.array([True, False]), texts)[1]
+
+    met = [last(x, y) for x, y in (("aa", "bb"), ("cc", "dd"), ("ee", "ff"))]
+    never = [last(x, y) for x, y in (("aa", "dd"), ("cc", "ff"), ("ee", "bb"))]
+    assert min(met) > max(never) + 0.3
+
+
 def test_filter_reads_back_levels():
     rng = np.random.default_rng(1)
     keys, q = rng.integers(0, 2**63, 3000).astype(np.uint64), rng.integers(1, 9, 3000)
