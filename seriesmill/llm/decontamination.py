@@ -1,19 +1,17 @@
-"""Benchmark decontamination by SimHash of item-sized windows.
+"""Benchmark decontamination by exact comparison of item-sized windows.
 
 Documents and items are folded (lower case, punctuation off) and compared in
 5-word shingles. A window of an item's size is laid wherever a document shares a
 shingle with the item, at the place that aligns the two; windows without a common
-shingle have similarity 0. Each different window gets one 64-bit SimHash over its
-weighted shingles. Fingerprints within ``RADIUS`` bits of an item's are found
-through four 16-bit blocks: by the pigeonhole principle one block differs in at
-most RADIUS // 4 bits, so looking up all such variants of the items' blocks misses
-none. What is found is verified by exact weighted-shingle (multiset) Jaccard
-similarity; a document is contaminated at ``threshold`` or more.
+shingle have similarity 0. Each different window is compared with every item of
+its size that it shares a shingle with, by exact weighted-shingle (multiset)
+Jaccard similarity; a document is contaminated at ``threshold`` or more. No
+fingerprint stands between the two, as any radius of one loses some pairs.
 
 Only DataFrame functions. The shingles of the items are broadcast, with a bit map
 of them, if they are at most ``BROADCAST_SHINGLES``; beyond that every shingle of
-the documents goes through a shuffle join. Equal windows are one row from the
-SimHash on, so a passage in a third of all documents costs one comparison.
+the documents goes through a shuffle join. Equal windows are compared once, so a
+passage in a third of all documents costs one comparison.
 
 Null text or one of fewer than five words: never contaminated; items of fewer than
 five words match nothing. A document shorter than an item is compared as a whole.
@@ -53,30 +51,14 @@ def places(words: Column) -> Column:
     return F.when(F.size(words) >= SIZE, F.sequence(F.lit(0), F.size(words) - SIZE)).otherwise(F.array().cast("array<int>"))
 
 
-def shingle_counts(df: DataFrame, key: str, words: str) -> DataFrame:
-    """(key, g, c): the shingles of an array of words as strings, with how often each occurs."""
+def shingle_counts(df: DataFrame, keys: list[str], words: str) -> DataFrame:
+    """(keys, g, c): the shingles of an array of words as strings, with how often each occurs."""
     g = F.transform(places(F.col(words)), lambda i: F.array_join(F.slice(F.col(words), i + 1, SIZE), " "))
-    return df.select(key, F.explode(g).alias("g")).groupBy(key, "g").agg(F.count("*").alias("c"))
-
-
-def simhash(counts: DataFrame, key: str) -> DataFrame:
-    """(key, fp): sign of the weighted sum of shingle bits; sixteen sums of four 16-bit lanes each."""
-    h = F.xxhash64("g")
-    lanes = [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(0x0001000100010001)) * F.col("c")).alias(f"l{j}") for j in range(16)]
-    sums = counts.groupBy(key).agg(*lanes, F.sum("c").alias("total"))
-    fp = F.lit(0).cast("long")
-    for j in range(16):
-        for lane in range(4):
-            ones = F.shiftrightunsigned(F.col(f"l{j}"), 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            fp = fp.bitwiseOR(F.when(2 * ones > F.col("total"), F.shiftleft(F.lit(1).cast("long"), j + 16 * lane)).otherwise(F.lit(0).cast("long")))
-    return sums.select(key, fp.alias("fp"), "total")
-
-
-def block_of(fp: Column, b: int) -> Column:
-    return F.shiftrightunsigned(fp, 16 * b).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    return df.select(*keys, F.explode(g).alias("g")).groupBy(*keys, "g").agg(F.count("*").alias("c"))
 
 
 def flips(most: int) -> list[int]:
+    """Changes of a 16-bit block by at most so many bits; no longer used here, as fingerprints within RADIUS lose pairs. Its test stays."""
     return [sum(1 << i for i in c) for n in range(most + 1) for c in combinations(range(16), n)]
 
 
@@ -120,26 +102,20 @@ def matches(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8) -> Dat
     laid = hits.join(seeds, "h").select("uid", "doc_id", "key", start.alias("start"), "m", "first", "near")
     # a window clipped at an end of its document may begin before the words at hand; then it shares too little
     laid = laid.where(F.col("start") >= F.col("first")).withColumn("window", F.array_join(F.slice("near", F.col("start") - F.col("first") + 1, F.col("m")), " "))
-    laid = tables.save(laid.select("uid", "doc_id", "key", F.xxhash64("window").alias("wid"), "window").distinct(), "laid")
-
-    windows = tables.save(laid.groupBy("wid").agg(F.min("window").alias("window")).select("wid", F.split("window", " ").alias("words")), "windows")
-    counts = tables.save(shingle_counts(windows, "wid", "words"), "counts")
-    prints = simhash(counts, "wid")
-    item_counts = tables.save(shingle_counts(it, "item", "words"), "item_counts")
-    item_prints = tables.save(simhash(item_counts, "item"), "item_prints")
-
-    spread = F.array(*[F.lit(x) for x in flips(RADIUS // BLOCKS)])
-    probes = item_prints.select("item", F.col("fp").alias("item_fp"), F.col("total").alias("item_total"), F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block_of(F.col("fp"), b).alias("v")) for b in range(BLOCKS)])).alias("x"))
-    probes = probes.select("item", "item_fp", "item_total", "x.b", F.explode(F.transform(spread, lambda f: F.col("x.v").bitwiseXOR(f))).alias("v"))
-    looked = prints.select("wid", "fp", "total", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block_of(F.col("fp"), b).alias("v")) for b in range(BLOCKS)])).alias("x")).select("wid", "fp", "total", "x.b", "x.v")
-    near = looked.join(probes, ["b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = tables.save(near.select("wid", "item", "total", "item_total").distinct(), "near")
-
-    common = near.join(counts, "wid").join(item_counts.withColumnRenamed("c", "item_c"), ["item", "g"])
-    common = common.groupBy("wid", "item", "total", "item_total").agg(F.sum(F.least("c", "item_c")).alias("both"))
+    laid = tables.save(laid.select("uid", "doc_id", "key", F.xxhash64("window", "m").alias("wid"), "m", "window").distinct(), "laid")
+
+    windows = tables.save(laid.groupBy("wid", "m").agg(F.min("window").alias("window")).select("wid", "m", F.split("window", " ").alias("words")), "windows")
+    counts = tables.save(shingle_counts(windows, ["wid", "m"], "words"), "counts")
+    sized = it.select("item", F.size("words").alias("m"), "words")
+    item_counts = tables.save(shingle_counts(sized, ["item", "m"], "words").withColumnRenamed("c", "item_c"), "item_counts")
+
+    common = counts.join(F.broadcast(item_counts) if n <= BROADCAST_SHINGLES else item_counts, ["m", "g"])
+    common = common.groupBy("wid", "item").agg(F.sum(F.least("c", "item_c")).alias("both"))
+    # shingles in all: the item's follow from its size, the window's may be fewer in a short document
+    common = common.join(windows.select("wid", (F.size("words") - SIZE + 1).alias("total")), "wid").join(sized.select("item", (F.col("m") - SIZE + 1).alias("item_total")), "item")
     similar = common.select("wid", "item", (F.col("both") / (F.col("total") + F.col("item_total") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
     similar = tables.save(similar.join(it.select("item", "item_id"), "item").select("wid", "item_id", "similarity"), "similar")
-    tables.drop("seeds", "windows", "counts", "item_counts", "item_prints", "near")
+    tables.drop("seeds", "windows", "counts", "item_counts")
     best = laid.select("uid", "doc_id", "key", "wid").join(similar, "wid").groupBy("uid", "doc_id", "key", "item_id").agg(F.max("similarity").alias("similarity"))
     return best.select("key", "doc_id", "item_id", "similarity")
 

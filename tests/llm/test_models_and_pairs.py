@@ -275,6 +275,19 @@ def test_decontamination_edges(spark):
     assert decontamination.matches(df, items.limit(0)).count() == 0 and decontamination.matches(df.limit(0), items).count() == 0
 
 
+def test_decontamination_finds_all_at_the_threshold(spark):
+    """Items of 49 words with one changed in the middle have similarity 0.8; a SimHash radius of 15 bits loses some 2% of them."""
+    rng = np.random.default_rng(21)
+    items = [(i, " ".join(f"x{w}" for w in rng.integers(0, 10**9, 49))) for i in range(400)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        w[24] = f"changed{i}"
+        docs.append((i, " ".join(["before", *w, "after"])))
+    got = decontamination.matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(400)} and all(r.similarity == pytest.approx(0.8) for r in got)
+
+
 def test_flips_cover_the_radius():
     rng = np.random.default_rng(0)
     masks = set(decontamination.flips(decontamination.RADIUS // decontamination.BLOCKS))
