@@ -59,6 +59,8 @@ class Frequency:
             return cls(value)
         if not value >= 1:
             raise ValueError(f"a frequency in days must be 1 or more, not {value}")
+        if int(value) != value:
+            raise ValueError(f"a frequency in days must be a whole number, not {value}")
         return cls(int(value))
 
     @property

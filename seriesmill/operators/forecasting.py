@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ..functions.timeaxis import Frequency, is_time_type
 from ..plans.formula import FeatureSpec, Term, parse
 from .features import apply_terms, build_features, calendar, cleaned, ordered, trend_value
-from .models import OLS, LinearFit, Predictor, capture_schema
+from .models import OLS, LinearFit, Predictor, capture_schema, harmonise, warn_unseen
 from .panel import TimeSeriesFrame, future_dates, median_step_dates
 
 XREG = ("carry", "zeros", "NA", "error")
@@ -117,6 +117,7 @@ def future_xreg(f: Fit, grid: DataFrame, future: DataFrame | None, strategy: str
         grid = grid.join(right, _same(keys, "__f_"), "left").drop(*[f"__f_{k}" for k in keys])
     if absent and strategy == "carry":
         last = f.history.groupBy(*f.groups).agg(*[F.max_by(F.col(x), F.when(F.col(x).isNotNull(), F.col(f.date))).alias(x) for x in absent])
+        _warn_carry(f, absent)
         if f.groups:
             right = last.select(*[F.col(c).alias(f"__f_{c}") for c in f.groups], *absent)
             grid = grid.join(right, _same(f.groups, "__f_"), "left").drop(*[f"__f_{c}" for c in f.groups])
@@ -139,6 +140,17 @@ def future_xreg(f: Fit, grid: DataFrame, future: DataFrame | None, strategy: str
     return apply_terms(both, terms, f.date, f.groups).where("__new").drop("__new")
 
 
+def _warn_carry(f: Fit, columns: Sequence[str]) -> None:
+    """One aggregation: which carried columns have no value at all in a series, or none in its last row."""
+    per = f.history.groupBy(*f.groups).agg(*[F.count(x).alias(f"n_{x}") for x in columns], *[F.max_by(F.col(x).isNull(), f.date).alias(f"e_{x}") for x in columns])
+    row = per.agg(*[F.count_if(F.col(f"n_{x}") == 0).alias(f"n_{x}") for x in columns], *[F.count_if((F.col(f"n_{x}") > 0) & F.col(f"e_{x}")).alias(f"e_{x}") for x in columns]).first()
+    for x in columns:
+        if row[f"n_{x}"]:
+            warnings.warn(f"carry: {x!r} has no values in {row[f'n_{x}']} series; their forecasts have missing features", stacklevel=4)
+        if row[f"e_{x}"]:
+            warnings.warn(f"carry: {x!r} ends with a missing value in {row[f'e_{x}']} series; an earlier value is carried", stacklevel=4)
+
+
 def _check_future(f: Fit, future: DataFrame, h: int | None) -> int:
     missing = [c for c in [*f.groups, f.date] if c not in future.columns]
     if missing:
@@ -190,6 +202,9 @@ def forecast(f: Fit, h: int | None = None, future: DataFrame | None = None, xreg
     else:
         grid = median_step_dates(f.history.select(*f.groups, f.date), f.date, f.groups, h)
     grid = future_xreg(f, grid, future, xreg_strategy)
+    given = [p for p in f.predictors if p.name in grid.columns]
+    warn_unseen(grid, given)
+    grid = harmonise(grid, given, [c for c in grid.columns if c not in {p.name for p in given}])
     right = last.select(*[F.col(c).alias(f"__g_{c}") for c in f.groups], "__n", "__tail")
     grid = grid.join(right, _same(f.groups, "__g_")) if f.groups else grid.join(right, F.lit(True))
     kind = grid.schema[f.date].dataType

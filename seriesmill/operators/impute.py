@@ -32,11 +32,10 @@ def gap_runs(df: DataFrame, column: str, date: str, groups: Sequence[str] = ())
 
 def _check(df: DataFrame, column: str, date: str, groups: Sequence[str], *, lead: bool = False, trail: bool = False, max_gap: float | None = None, least: int = 0) -> None:
     """One action for all conditions; groups without nulls are not looked at."""
-    w = ordered(date, groups)
     present = F.col(column).isNotNull()
     keys = list(groups) or [F.lit(0).alias("__all")]
     flagged = df.select(*groups, date, column).withColumns(
-        {"__seen": F.max(present).over(w), "__ahead": F.max(present).over(w.rowsBetween(0, Window.unboundedFollowing))}
+        {"__seen": F.max(present).over(so_far(date, groups)), "__ahead": F.max(present).over(so_far(date, groups, back=True))}
     )
     per = flagged.groupBy(*keys).agg(
         F.count_if(~present).alias("nulls"), F.count_if(present).alias("values"),
@@ -55,19 +54,25 @@ def _check(df: DataFrame, column: str, date: str, groups: Sequence[str], *, lead
             raise ValueError(f"a gap of {longest} in {column!r} is longer than max_gap={max_gap}")
 
 
-def locf(y: Column, w) -> Column:
-    return F.last(y, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+def so_far(date: str, groups: Sequence[str], back: bool = False):
+    """The rows up to the current one; from the end of the series if ``back``. A frame that grows is added to row by row; one that shrinks would be read again for each row."""
+    w = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(F.col(date).desc() if back else F.col(date))
+    return w.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def locf(y: Column, date: str, groups: Sequence[str]) -> Column:
+    return F.last(y, ignorenulls=True).over(so_far(date, groups))
 
 
-def nocb(y: Column, w) -> Column:
-    return F.first(y, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+def nocb(y: Column, date: str, groups: Sequence[str]) -> Column:
+    return F.last(y, ignorenulls=True).over(so_far(date, groups, back=True))
 
 
-def linear(y: Column, date: Column, w) -> Column:
+def linear(y: Column, date: str, groups: Sequence[str]) -> Column:
     """Interpolation over time between neighbours; constant beyond the first and last value."""
-    point = F.when(y.isNotNull(), F.struct(epoch_seconds(date).alias("t"), y.alias("y")))
-    a, b = locf(point, w), nocb(point, w)
-    t = epoch_seconds(date)
+    t = epoch_seconds(F.col(date))
+    point = F.when(y.isNotNull(), F.struct(t.alias("t"), y.alias("y")))
+    a, b = locf(point, date, groups), nocb(point, date, groups)
     between = a["y"] + (b["y"] - a["y"]) * (t - a["t"]) / (b["t"] - a["t"])
     return F.coalesce(y, F.when(a.isNotNull() & b.isNotNull(), between), a["y"], b["y"])
 
@@ -77,66 +82,54 @@ def rolling_mean(y: Column, w, window: int = 7, center: bool = True) -> Column:
     return F.coalesce(y, F.avg(y).over(frame))
 
 
-def _neighbours(keys: Sequence[str], neighbors) -> Column | None:
-    """Which peers (columns ``p_*``) may lend to a series (columns ``g_*``)."""
-    if neighbors is None:
-        return None
-    if isinstance(neighbors, Mapping):
-        allowed = F.lit(False)
-        for series, peers in neighbors.items():
-            allowed = allowed | ((F.col(f"g_{keys[0]}") == F.lit(series)) & F.col(f"p_{keys[0]}").isin(list(peers)))
-        return allowed
-    return F.col(f"p_{keys[0]}").isin(list(neighbors))
-
-
 def borrow(df: DataFrame, column: str, date: str, groups: Sequence[str], *, method: str = "median", neighbors=None) -> DataFrame:
     """(groups, date, __lent): a value for each missing cell from the other series at that date.
 
+    A missing cell's own series has nothing to lend at its date, so mean and median
+    are one aggregation by date, unless each series has lenders of its own.
     ``weighted`` weighs a peer by one over its mean absolute distance to the series
-    on shared dates (no shared date: ten times the largest distance); a cell no
-    weighted peer reaches takes the median.
+    on shared dates (no shared date: ten times the largest distance); that takes, for
+    each date, every value of a series with missing cells against every value of the
+    others, which grows with the square of the series. neighbors: the lenders' names
+    (first group column), or for each series its lenders.
     """
     if not groups:
         raise ValueError("borrow needs groups")
     if method not in ("median", "mean", "weighted"):
         raise ValueError(f"unknown method {method!r}")
-    g = df.select(*[F.col(c).alias(f"g_{c}") for c in groups], F.col(date).alias("__d"), F.col(column).cast("double").alias("gy"))
-    p = df.where(F.col(column).isNotNull()).select(*[F.col(c).alias(f"p_{c}") for c in groups], F.col(date).alias("__d"), F.col(column).cast("double").alias("py"))
-    other = ~_all_equal([f"g_{c}" for c in groups], [f"p_{c}" for c in groups])
-    allowed = _neighbours(groups, neighbors)
-    if allowed is not None:
-        other = other & allowed
-    cells = g.where(F.col("gy").isNull()).drop("gy").join(p, "__d").where(other)
-    keys = [f"g_{c}" for c in groups]
-    agg = {"mean": F.avg("py")}.get(method, F.median("py")).alias("__lent")
-    out = cells.groupBy(*keys, "__d").agg(agg)
+    keys, peers = [f"g_{c}" for c in groups], [f"p_{c}" for c in groups]
+    y = F.col(column).cast("double")
+    cells = df.where(F.col(column).isNull()).select(*[F.col(c).alias(f"g_{c}") for c in groups], F.col(date).alias("__d"))
+    p = df.where(F.col(column).isNotNull()).select(*[F.col(c).alias(f"p_{c}") for c in groups], F.col(date).alias("__d"), y.alias("py"))
+    lent = (F.avg("py") if method == "mean" else F.median("py")).alias("__lent")
+    if isinstance(neighbors, Mapping):
+        kind = df.schema[groups[0]].dataType.simpleString()
+        pairs = df.sparkSession.createDataFrame([(s, x) for s, xs in neighbors.items() for x in dict.fromkeys(xs) if x != s], f"{keys[0]} {kind}, {peers[0]} {kind}")
+        cells = cells.join(pairs, keys[0])
+        out = cells.join(p, ["__d", peers[0]]).groupBy(*keys, "__d").agg(lent)
+    else:
+        if neighbors is not None:
+            p = p.where(F.col(peers[0]).isin(list(neighbors)))
+        out = cells.join(p.groupBy("__d").agg(lent), "__d")
     if method == "weighted":
-        needy = g.where(F.col("gy").isNull()).select(*keys).distinct()
-        pairs = needy.join(p.select(*[f"p_{c}" for c in groups]).distinct(), other, "inner")
-        near = [F.col(f"g_{c}").eqNullSafe(F.col(f"h_{c}")) for c in groups]
-        shared = g.where(F.col("gy").isNotNull()).join(p, "__d").where(other)
-        gap = shared.groupBy(*keys, *[f"p_{c}" for c in groups]).agg(F.avg(F.abs(F.col("gy") - F.col("py"))).alias("d"))
-        gap = gap.select(*[F.col(f"g_{c}").alias(f"h_{c}") for c in groups], *[F.col(f"p_{c}").alias(f"q_{c}") for c in groups], "d")
-        same = near + [F.col(f"p_{c}").eqNullSafe(F.col(f"q_{c}")) for c in groups]
-        cond = same[0]
-        for c in same[1:]:
-            cond = cond & c
-        pairs = pairs.join(gap, cond, "left").select(*keys, *[f"p_{c}" for c in groups], "d")
-        each = Window.partitionBy(*keys)
-        d = F.coalesce("d", 10 * F.max("d").over(each), F.lit(1.0))
-        weights = pairs.withColumn("w", 1 / (d + 1e-6)).drop("d")
-        weights = weights.withColumn("w", F.col("w") / F.sum("w").over(each))
-        pk = [f"p_{c}" for c in groups]
-        renamed = weights.select(*[F.col(c).alias(f"w{c}") for c in keys + pk], "w")
-        cond = F.col(keys[0]).eqNullSafe(F.col(f"w{keys[0]}"))
-        for c in (keys + pk)[1:]:
-            cond = cond & F.col(c).eqNullSafe(F.col(f"w{c}"))
-        sums = cells.join(renamed, cond).groupBy(*keys, "__d").agg((F.sum(F.col("w") * F.col("py")) / F.sum("w")).alias("__lent"))
-        out = out.withColumnRenamed("__lent", "__median").join(sums.select(*[F.col(k).alias(f"s{k}") for k in keys], F.col("__d").alias("__sd"), F.col("__lent")), _all_equal(keys, [f"s{k}" for k in keys]) & (F.col("__d") == F.col("__sd")), "left")
-        out = out.select(*keys, "__d", F.coalesce("__lent", "__median").alias("__lent"))
+        by = ["__d", peers[0]] if isinstance(neighbors, Mapping) else ["__d"]
+        needy = cells.drop("__d").distinct()
+        have = df.where(F.col(column).isNotNull()).select(*[F.col(c).alias(f"h_{c}") for c in groups], F.col(date).alias("__d"), y.alias("gy"))
+        have = have.join(needy, _all_equal(keys, [f"h_{c}" for c in groups])).drop(*[f"h_{c}" for c in groups])
+        shared = have.join(p, by).where(~_all_equal(keys, peers))
+        gap = shared.groupBy(*keys, *peers).agg(F.avg(F.abs(F.col("gy") - F.col("py"))).alias("d"))
+        largest = gap.groupBy(*keys).agg(F.max("d").alias("largest"))
+        at = cells.join(p, by)
+        at = at.join(_renamed(gap, keys + peers, "w"), _all_equal(keys + peers, [f"w{c}" for c in keys + peers]), "left").join(_renamed(largest, keys, "l"), _all_equal(keys, [f"l{c}" for c in keys]), "left")
+        w = 1 / (F.coalesce("d", 10 * F.col("largest"), F.lit(1.0)) + 1e-6)
+        out = at.groupBy(*keys, "__d").agg((F.sum(w * F.col("py")) / F.sum(w)).alias("__lent"))
     return out.select(*[F.col(f"g_{c}").alias(c) for c in groups], F.col("__d").alias(date), "__lent")
 
 
+def _renamed(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{prefix}{c}" for c in columns})
+
+
 def _all_equal(a: Sequence[str], b: Sequence[str]) -> Column:
     cond = F.lit(True)
     for x, y in zip(a, b, strict=True):
@@ -196,9 +189,9 @@ def fill_gaps(
     if validate:
         _check(df, target, date, groups, lead=strategy == "locf" or (strategy == "linear" and not extrapolate), trail=strategy == "nocb" or (strategy == "linear" and not extrapolate), max_gap=None if strategy == "custom" else max_gap, least=2 if strategy == "linear" else 0)
     if strategy in ("locf", "nocb"):
-        return df.withColumns({flag: missing, target: locf(y, w) if strategy == "locf" else nocb(y, w)})
+        return df.withColumns({flag: missing, target: (locf if strategy == "locf" else nocb)(y, date, groups)})
     if strategy == "linear":
-        return df.withColumns({flag: missing, target: linear(y.cast("double"), F.col(date), w)})
+        return df.withColumns({flag: missing, target: linear(y.cast("double"), date, groups)})
     if strategy == "rolling_mean":
         return df.withColumns({flag: missing, target: rolling_mean(y.cast("double"), w, window, center)})
     if strategy == "borrow":

@@ -8,6 +8,7 @@ regressors go through ``MLModel``.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -45,6 +46,17 @@ def harmonise(df: DataFrame, predictors: Sequence[Predictor], keep: Sequence[str
     return df.select(*keep, *out)
 
 
+def warn_unseen(df: DataFrame, predictors: Sequence[Predictor]) -> None:
+    """Says which text predictors hold values that training had not; one aggregation, and none without such predictors."""
+    known = [p for p in predictors if p.levels and p.name in df.columns]
+    if not known:
+        return
+    row = df.agg(*[F.count_if(~F.col(p.name).isin(list(p.levels))).alias(p.name) for p in known]).first()
+    for p in known:
+        if row[p.name]:
+            warnings.warn(f"{p.name!r}: {row[p.name]} values were not seen in training and count as missing", stacklevel=3)
+
+
 def design(predictors: Sequence[Predictor]) -> list[tuple[str, Column]]:
     """Columns of the design matrix without the intercept; the first level of a text column is its baseline, nulls stay null."""
     out: list[tuple[str, Column]] = []
@@ -102,16 +114,14 @@ class OLS:
         names = [n for n, _ in cols]
         x = df.select(F.col(target).cast("double").alias("__y"), *[c.alias(f"__x{i}") for i, (_, c) in enumerate(cols)])
         every = ["__y", *[f"__x{i}" for i in range(len(cols))]]
-        # centred cross products, so that powers of a trend stay apart
-        means = x.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in every]).first()
+        # covariances are summed around the running means, so that powers of a trend stay apart in one pass
+        pairs = [(i, j) for i in range(len(every)) for j in range(i, len(every))]
+        means = x.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in every], *[F.covar_pop(every[i], every[j]).alias(f"{i}_{j}") for i, j in pairs]).first()
         if not means["n"]:
             raise ValueError("no training rows are left; the series are shorter than the features need")
-        d = [F.col(c) - F.lit(means[c]) for c in every]
-        pairs = [(i, j) for i in range(len(every)) for j in range(i, len(every))]
-        sums = x.agg(*[F.sum(d[i] * d[j]).alias(f"{i}_{j}") for i, j in pairs]).first()
         gram = np.zeros((len(every), len(every)))
         for i, j in pairs:
-            gram[i, j] = gram[j, i] = sums[f"{i}_{j}"]
+            gram[i, j] = gram[j, i] = means["n"] * means[f"{i}_{j}"]
         coef = solve_gram(gram[1:, 1:], gram[1:, 0], self.tolerance)
         intercept = means["__y"] - sum(b * means[f"__x{i}"] for i, b in enumerate(coef) if b is not None)
         return LinearFit(float(intercept), {n: float(b) for n, b in zip(names, coef, strict=True) if b is not None}, predictors)

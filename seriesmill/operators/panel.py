@@ -20,12 +20,15 @@ def frequency_of(seconds: float, weekend: bool, dates: bool) -> Frequency:
         if abs(seconds - 1) < 1:
             return Frequency("second")
         for name, size in (("minute", 60), ("halfhour", 1800), ("hour", 3600)):
-            if abs(seconds - size) <= 0.1 * size:
+            if abs(seconds - size) < 0.1 * size:
                 return Frequency(name)
     days = seconds / 86400
     if abs(days - 1) < 0.5:
         return Frequency("day" if weekend else "businessday")
-    for name, low, high in (("week", 6.5, 7.5), ("biweekly", 13, 15), ("month", 28, 31), ("quarter", 89, 92), ("year", 364, 367)):
+    for name, size, off in (("week", 7, 0.5), ("biweekly", 14, 1)):
+        if abs(days - size) < off:
+            return Frequency(name)
+    for name, low, high in (("month", 28, 31), ("quarter", 89, 92), ("year", 364, 367)):
         if low <= days <= high:
             return Frequency(name)
     if round(days) < 1:

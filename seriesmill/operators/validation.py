@@ -118,7 +118,15 @@ def cv_forecast(
         row = alignment(df, date, groups).first()
         if row["n_date_lists"] > 1:
             raise ValueError("all series need identical date sequences for cross-validation")
-    placed = dated(df, date)
+    # every fold reads the panel: kept on the executors until the folds are done
+    placed = dated(df, date).persist()
+    try:
+        return _cross_validated(formula, placed, model, date, groups, frequency, h, n_windows, window_type, window_size, step_size, metric, return_predictions)
+    finally:
+        placed.unpersist()
+
+
+def _cross_validated(formula, placed, model, date, groups, frequency, h, n_windows, window_type, window_size, step_size, metric, return_predictions) -> CVResult:
     n = placed.agg(F.coalesce(F.max("place"), F.lit(0))).first()[0]
     plan = folds(n, h, n_windows, window_type, window_size, step_size)
     if not plan:
@@ -132,15 +140,19 @@ def cv_forecast(
             y = fitted.spec.target
             future = test.select(*dict.fromkeys([*groups, date, *fitted.spec.exogenous]))
             found = fitted.forecast(future=future)
-        except ValueError as e:
-            warnings.warn(f"fold {f.fold} is left out: {e}", stacklevel=2)
+            right = test.select(*[F.col(c).alias(f"__t_{c}") for c in [*groups, date]], F.col(y).cast("double").alias("actual"))
+            cond = F.col(date) == F.col(f"__t_{date}")
+            for c in groups:
+                cond = cond & F.col(c).eqNullSafe(F.col(f"__t_{c}"))
+            part = found.join(right, cond).select(F.lit(f.fold).alias("fold"), *groups, date, "actual", F.col(f"{y}_forecast").alias("predicted"))
+            part = part.persist()
+            zeros = part.agg(F.count_if(F.col("actual") == 0)).first()[0]  # runs the fold, so that what fails in a task counts too
+        except Exception as e:  # noqa: BLE001
+            warnings.warn(f"fold {f.fold} is left out: {e}", stacklevel=3)
             continue
-        right = test.select(*[F.col(c).alias(f"__t_{c}") for c in [*groups, date]], F.col(y).cast("double").alias("actual"))
-        cond = F.col(date) == F.col(f"__t_{date}")
-        for c in groups:
-            cond = cond & F.col(c).eqNullSafe(F.col(f"__t_{c}"))
-        joined = found.join(right, cond)
-        parts.append(joined.select(F.lit(f.fold).alias("fold"), *groups, date, "actual", F.col(f"{y}_forecast").alias("predicted")))
+        if metric == "mape" and zeros:
+            warnings.warn(f"mape: {zeros} actual values of zero in fold {f.fold} do not count", stacklevel=3)
+        parts.append(part)
     if not parts:
         raise ValueError("every fold failed")
     predictions = parts[0]

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,7 +12,7 @@ from ..sources import panels
 P1 = "p1 AS (SELECT l_returnflag AS series, l_shipdate::DATE AS date, sum(l_quantity) AS y, count(*) AS x FROM lineitem GROUP BY 1, 2)"
 P1M = P1 + ", p AS (SELECT series, date, CASE WHEN date_diff('day', DATE '1995-01-01', date) % 11 <> 0 THEN y END AS y, x FROM p1)"
 P2 = "p2 AS (SELECT o_orderpriority AS series, date_trunc('month', o_orderdate)::DATE AS date, round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1, 2)"
-P2A = "p2 AS (SELECT o_orderpriority AS series, date_trunc('month', o_orderdate)::DATE AS date, round(sum(o_totalprice), 2) AS y FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1, 2)"
+P2A = P2.replace("p2 AS", "p2raw AS", 1) + ", p2 AS (SELECT * FROM p2raw WHERE date IN (SELECT date FROM p2raw GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT series) FROM p2raw)))"
 P3 = "p3 AS (SELECT event_type AS series, date_trunc('hour', ts)::TIMESTAMP AS date, round(sum(value), 2) AS y FROM events GROUP BY 1, 2)"
 P4 = "p4 AS (SELECT user_id AS series, ts::DATE AS date, round(sum(value), 2) AS y FROM events GROUP BY 1, 2)"
 P4M = P4 + ", p AS (SELECT series, date, CASE WHEN (date_diff('day', DATE '1995-01-01', date) + series) % 11 <> 0 THEN y END AS y FROM p4)"
@@ -43,6 +41,13 @@ def p4m(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("y", F.when(F.pmod(days + F.col("series"), F.lit(11)) != 0, F.col("y")))
 
 
+def aligned_orders(spark: SparkSession, d: str) -> DataFrame:
+    """P2 at the months that all series have: cross-validation needs the same dates everywhere."""
+    p = panels.monthly_orders(spark, d)
+    n = p.agg(F.count_distinct("series")).first()[0]
+    return p.join(p.groupBy("date").count().where(F.col("count") == n).select("date"), "date").select("series", "date", "y")
+
+
 def rounded(df: DataFrame, *columns: str, to: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, to) for c in columns})
 
@@ -401,14 +406,21 @@ CV = dict(date="date", groups=["series"], frequency="month", h=3, n_windows=4)
 f AS (SELECT k + 1 AS fold, n - 9 + 3 * k AS te FROM n, (SELECT unnest(range(0, 4)) AS k))
 SELECT fold::INT AS fold, (SELECT date FROM d WHERE place = 1) AS train_start, (SELECT date FROM d WHERE place = te - 3) AS train_end, (SELECT date FROM d WHERE place = te - 2) AS test_start, (SELECT date FROM d WHERE place = te) AS test_end FROM f""")
 def cv_folds(spark, d):
-    days = [r.date for r in panels.monthly_orders(spark, d, "2001-08-01").select("date").distinct().orderBy("date").collect()]  # a few dozen months
+    days = [r.date for r in aligned_orders(spark, d).select("date").distinct().orderBy("date").collect()]  # a few dozen months
     rows = [(f.fold, *(days[p - 1] for p in (f.train_start, f.train_end, f.test_start, f.test_end))) for f in validation.folds(len(days), 3, 4)]
     return spark.createDataFrame(rows, "fold int, train_start date, train_end date, test_start date, test_end date")
 
 
-@query(f"WITH {P2A}, g AS (SELECT series, list(date ORDER BY date) AS l FROM p2 GROUP BY 1) SELECT count(*) AS n_series, count(DISTINCT l) AS n_date_lists FROM g")
+def _lists(table: str) -> str:
+    return f"SELECT '{table}' AS panel, count(*) AS n_series, count(DISTINCT l) AS n_date_lists FROM (SELECT series, list(date ORDER BY date) AS l FROM {table} GROUP BY 1)"
+
+
+@query(f"WITH {P2A}, p4 AS (SELECT user_id AS series, ts::DATE AS date FROM events GROUP BY 1, 2) {_lists('p2')} UNION ALL {_lists('p2raw')} UNION ALL {_lists('p4')}")
 def cv_alignment(spark, d):
-    return validation.alignment(panels.monthly_orders(spark, d, "2001-08-01"), "date", ["series"])
+    """Series and different lists of dates: of the shared months, of all months, and of the users' days, which cross-validation refuses."""
+    found = {"p2": aligned_orders(spark, d), "p2raw": panels.monthly_orders(spark, d), "p4": panels.user_days(spark, d)}
+    parts = [validation.alignment(p, "date", ["series"]).select(F.lit(name).alias("panel"), "*") for name, p in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # a model of the trend alone: each fold's forecast is a regression on the row number
@@ -419,7 +431,7 @@ p AS (SELECT fold, series, date, y AS actual, a + b * rn AS predicted FROM m JOI
 
 @query(f"WITH {CV_PRED} SELECT fold::INT AS fold, series, date, actual, round(predicted, 4) AS predicted FROM p")
 def cv_predictions(spark, d):
-    out = validation.cv_forecast("y ~ trend(1)", panels.monthly_orders(spark, d, "2001-08-01"), return_predictions=True, **CV)
+    out = validation.cv_forecast("y ~ trend(1)", aligned_orders(spark, d), return_predictions=True, **CV)
     return rounded(out.predictions, "predicted", to=4)
 
 
@@ -428,7 +440,7 @@ SQL_METRIC = {"rmse": "sqrt(avg((actual - predicted) ** 2))", "mse": "avg((actua
 
 def _cv_query(name: str):
     def run(spark, d):
-        out = validation.cv_forecast("y ~ trend(1)", panels.monthly_orders(spark, d, "2001-08-01"), metric=name, **CV)
+        out = validation.cv_forecast("y ~ trend(1)", aligned_orders(spark, d), metric=name, **CV)
         return rounded(out.metrics.where("fold > 0").withColumn("fold", F.col("fold").cast("int")), name, to=2)
 
     run.__name__ = f"cv_metrics_{name}"
@@ -441,22 +453,116 @@ for _name in validation.METRICS:
 
 @query(f"WITH {CV_PRED} SELECT 0::INT AS fold, round({SQL_METRIC['rmse']}, 2) AS rmse, count(*) AS n_test FROM p")
 def cv_overall(spark, d):
-    out = validation.cv_forecast("y ~ trend(1)", panels.monthly_orders(spark, d, "2001-08-01"), **CV)
+    out = validation.cv_forecast("y ~ trend(1)", aligned_orders(spark, d), **CV)
     return rounded(out.metrics.where("fold = 0").withColumn("fold", F.col("fold").cast("int")), "rmse", to=2)
 
 
 @query(f"""WITH {CV_PRED}, s AS (SELECT row_number() OVER (PARTITION BY fold, series ORDER BY date)::INT AS step, * FROM p) SELECT step, round({SQL_METRIC['mae']}, 2) AS mae FROM s GROUP BY 1""")
 def cv_accuracy_by_step(spark, d):
-    out = validation.cv_forecast("y ~ trend(1)", panels.monthly_orders(spark, d, "2001-08-01"), return_predictions=True, **CV)
+    out = validation.cv_forecast("y ~ trend(1)", aligned_orders(spark, d), return_predictions=True, **CV)
     return rounded(validation.accuracy_by_step(out.predictions, "date", ["series"], "mae"), "mae", to=2)
 
 
 @query(f"WITH {CV_PRED} SELECT series, round({SQL_METRIC['mae']}, 2) AS mae FROM p GROUP BY 1")
 def cv_accuracy_by_group(spark, d):
-    out = validation.cv_forecast("y ~ trend(1)", panels.monthly_orders(spark, d, "2001-08-01"), return_predictions=True, **CV)
+    out = validation.cv_forecast("y ~ trend(1)", aligned_orders(spark, d), return_predictions=True, **CV)
     return rounded(validation.accuracy_by_group(out.predictions, ["series"], "mae"), "mae", to=2)
 
 
+# ---------------------------------------------------------------- names of steps, and what is refused
+
+DAYS = (1, 1.4, 2, 3, 6, 7, 10, 12, 13, 14, 15, 20, 28, 30, 31, 32, 61, 88, 89, 91, 92, 180, 364, 365, 366, 367, 400)
+SECONDS = (1, 54, 57, 60, 66, 1700, 1800, 1900, 3300, 3600, 3950, 43200, 86400, 604800)
+
+
+@query(f"""WITH s AS (SELECT unnest({list(DAYS)})::DOUBLE AS days, NULL::DOUBLE AS seconds UNION ALL SELECT x / 86400, x FROM (SELECT unnest({list(SECONDS)})::DOUBLE AS x))
+SELECT days, seconds, CASE WHEN seconds = 1 THEN 'second' WHEN abs(seconds - 60) < 6 THEN 'minute' WHEN abs(seconds - 1800) < 180 THEN 'halfhour' WHEN abs(seconds - 3600) < 360 THEN 'hour'
+  WHEN round_even(days, 0) < 1 THEN 'refused' WHEN abs(days - 1) < 0.5 THEN 'day' WHEN abs(days - 7) < 0.5 THEN 'week' WHEN abs(days - 14) < 1 THEN 'biweekly'
+  WHEN days BETWEEN 28 AND 31 THEN 'month' WHEN days BETWEEN 89 AND 92 THEN 'quarter' WHEN days BETWEEN 364 AND 367 THEN 'year' ELSE round_even(days, 0)::BIGINT::VARCHAR END AS name FROM s""")
+def frequency_names(spark, d):
+    """The step that a median distance stands for, for dates and timestamps."""
+
+    def name(seconds: float, dates: bool) -> str:
+        try:
+            return str(panel.frequency_of(seconds, True, dates).name)
+        except ValueError:
+            return "refused"
+
+    rows = [(float(x), None, name(x * 86400, True)) for x in DAYS] + [(x / 86400, float(x), name(x, False)) for x in SECONDS]
+    return spark.createDataFrame(rows, "days double, seconds double, name string")
+
+
+def _refusals(spark, d) -> dict:
+    """Calls that must raise, on the driver's tables."""
+    p, gaps = panels.daily_shipments(spark, d), p1m(spark, d)
+    last = F.max("date").over(Window.partitionBy("series"))
+    first = F.min("date").over(Window.partitionBy("series"))
+    trailing = p.withColumn("y", F.when(F.col("date") < last, F.col("y")))
+    leading = p.withColumn("y", F.when(F.col("date") > first, F.col("y")))
+    long = p.withColumn("y", F.when(F.dayofmonth("date") > 9, F.col("y")))
+    fill = lambda df, how, **kw: impute.fill_gaps(df, "y", "date", ["series"], how, **kw)
+    fitted = lambda df: forecasting.fit("y ~ p(1)", df, date="date", groups=["series"], frequency="day")
+    some = p.withColumn("last", last).where(F.col("date") > F.date_sub("last", 3)).select("series", "date")
+    return {
+        "error_with_gaps": lambda: fill(gaps, "error"),
+        "locf_leading": lambda: fill(leading, "locf"),
+        "nocb_trailing": lambda: fill(trailing, "nocb"),
+        "linear_leading": lambda: fill(leading, "linear"),
+        "max_gap": lambda: fill(long, "nocb", max_gap=3),
+        "max_gap_held": lambda: fill(long.where(F.dayofmonth("date") > 7), "linear", max_gap=2, extrapolate=True),
+        "unknown_strategy": lambda: fill(p, "guess"),
+        "forecast_trailing": lambda: fitted(trailing).forecast(3),
+        "forecast_complete": lambda: fitted(p).forecast(3),
+        "future_date_twice": lambda: fitted(p).forecast(future=some.unionByName(some)),
+        "future_without_dates": lambda: fitted(p).forecast(future=some.drop("date")),
+        "horizon_zero": lambda: fitted(p).forecast(0),
+        "cv_different_dates": lambda: validation.cv_forecast("y ~ trend(1)", panels.user_days(spark, d), date="date", groups=["series"], frequency="day", h=1),
+        "cv_window_missing": lambda: validation.folds(50, 3, 2, "sliding"),
+        "cv_unknown_metric": lambda: validation.cv_forecast("y ~ trend(1)", p, date="date", groups=["series"], frequency="day", metric="best"),
+        "lag_zero": lambda: forecasting.fit("y ~ p(0)", p, date="date", groups=["series"]),
+        "unknown_column": lambda: forecasting.fit("y ~ nothing", p, date="date", groups=["series"]),
+        "days_not_whole": lambda: panel.Frequency.of(1.5),
+        "unknown_frequency": lambda: panel.Frequency.of("hourly"),
+        "hours_of_dates": lambda: panel.fill_time(p, "date", ["series"], "hour"),
+    }
+
+
+#: The calls above that go through.
+GRANTED = ("max_gap_held", "forecast_complete")
+REFUSALS = (
+    "error_with_gaps", "locf_leading", "nocb_trailing", "linear_leading", "max_gap", "max_gap_held", "unknown_strategy", "forecast_trailing", "forecast_complete", "future_date_twice",
+    "future_without_dates", "horizon_zero", "cv_different_dates", "cv_window_missing", "cv_unknown_metric", "lag_zero", "unknown_column", "days_not_whole", "unknown_frequency", "hours_of_dates",
+)
+
+
+@query(f"SELECT c AS call, c NOT IN {GRANTED} AS refused FROM (SELECT unnest({list(REFUSALS)}) AS c)")
+def refusals(spark, d):
+    """Which calls raise: gaps that cannot be filled, forecasts from missing values, folds over different dates, bad arguments."""
+
+    def refused(call) -> bool:
+        try:
+            call()
+        except (ValueError, TypeError):
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(call)) for name, call in _refusals(spark, d).items()], "call string, refused boolean")
+
+
+@query(f"""WITH {P4}, s AS (SELECT *, date_diff('day', lag(date) OVER (PARTITION BY series ORDER BY date), date) AS s FROM p4),
+m AS (SELECT series, max(date) AS date, greatest(1, floor(coalesce(median(s), 1)))::INT AS m FROM s GROUP BY 1)
+SELECT series, (date + (k * m)::INT)::DATE AS date, k::INT AS step FROM m, (SELECT unnest(range(1, 6)) AS k)""")
+def median_step_future(spark, d):
+    """Future dates by each user's own median step."""
+    return panel.median_step_dates(panels.user_days(spark, d), "date", ["series"], 5).select("series", "date", "step")
+
+
+@query(f"""WITH {P4}, t AS (SELECT series, max(date) AS date FROM p4 GROUP BY 1) SELECT series FROM t WHERE date_diff('day', DATE '1995-01-01', date) % 3 = 0""")
+def trailing_missing_users(spark, d):
+    """Users whose last day has no value, where every third day is masked."""
+    return panel.trailing_missing(panels.masked(panels.user_days(spark, d), 3), "y", "date", ["series"])
+
+
 @query("""WITH t AS (SELECT id, (id % 42)::INT AS i, (id // 42)::INT AS m FROM (SELECT unnest(range(0, 42 * 333)) AS id))
 SELECT printf('item%02d', i) AS items, (DATE '1997-04-01' + INTERVAL (m) MONTH)::DATE AS date FROM t""")
 def retail_panel(spark, d):

@@ -16,11 +16,9 @@ def daily_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("series", "date").agg(F.sum("l_quantity").alias("y"), F.count("*").alias("x"))
 
 
-def monthly_orders(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
+def monthly_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P2 (series, date, y): order value per priority and month."""
     t = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("series"), F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("date"), "o_totalprice")
-    if before:
-        t = t.where(F.col("date") < F.lit(before).cast("date"))
     return t.groupBy("series", "date").agg(F.round(F.sum("o_totalprice"), 2).alias("y"))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from helpers import daily, single
 
-from seriesmill.operators.models import OLS
+from seriesmill.operators.models import OLS, PandasModel
 from seriesmill.operators.validation import accuracy_by_group, accuracy_by_step, alignment, compare_models, cv_forecast, fold_metrics, folds, grid_search
 
 
@@ -80,3 +80,21 @@ def test_monthly_lags_keep_their_dates(spark):
     rows = [(date(2015 + i // 12, i % 12 + 1, 1), float(v)) for i, v in enumerate(noise(60))]
     out = cv_forecast("value ~ p(1)", spark.createDataFrame(rows, "date date, value double"), date="date", h=4, n_windows=2, return_predictions=True)
     assert out.predictions.count() == 8
+
+
+def test_a_fold_that_fails_in_a_task_is_left_out(spark):
+    df = single(spark, noise(60))
+
+    def predict(rows, x):
+        if rows < 56:
+            raise RuntimeError("on purpose")
+        return np.zeros(len(x))
+
+    with pytest.warns(UserWarning, match="fold 1 is left out"):
+        out = cv_forecast("value ~ p(1)", df, PandasModel(lambda y, x: len(y), predict), date="date", h=2, n_windows=2)
+    assert sorted(r.fold for r in out.metrics.collect()) == [0, 2]
+
+
+def test_zero_actuals_are_named(spark):
+    with pytest.warns(UserWarning, match="zero"):
+        cv_forecast("value ~ trend(1)", single(spark, [*noise(40), 0.0, 3.0]), date="date", h=2, n_windows=1, metric="mape")

@@ -195,3 +195,16 @@ def test_leak_free_windows(spark):
     df = single(spark, [1, 2, 3, 4, 5, 6, 7, 9])
     a = train_matrix(df, "value ~ q(2)", "date", window_lag=1).orderBy("date").first()
     assert a.value == 3 and a.value_ma_2 == 1.5
+
+
+def test_carry_and_unseen_values_are_named(spark):
+    rows = [("A" if i % 2 else "B", date(2023, 1, 1) + timedelta(days=i // 2), float(i), None if i > 55 else float(i % 5), "u" if i % 3 else "v", None if i % 2 else 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "series string, date date, value double, x double, k string, gone double")
+    kw = dict(date="date", groups=["series"], frequency="day")
+    with pytest.warns(UserWarning, match="ends with a missing value"):
+        fit("value ~ trend(1) + x", df, **kw).forecast(2)
+    with pytest.warns(UserWarning, match="has no values in 1 series"):
+        fit("value ~ gone", df, **kw).forecast(2)
+    future = spark.createDataFrame([(s, date(2023, 2, 1), "new") for s in "AB"], "series string, date date, k string")
+    with pytest.warns(UserWarning, match="not seen in training"):
+        assert fit("value ~ k", df, **kw).forecast(future=future).where("value_forecast is null").count() == 2

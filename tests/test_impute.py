@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from helpers import column, daily, single
 
-from seriesmill.operators.impute import fill_gaps, gap_runs, imputation_summary
+from seriesmill.operators.impute import borrow, fill_gaps, gap_runs, imputation_summary
 
 
 def filled(spark, y, strategy, **kw):
@@ -130,3 +130,24 @@ def test_summary_and_nan(spark):
     out = fill_gaps(single(spark, [1.0, float("nan"), 3.0]), "value", "date", (), "zero")
     assert imputation_summary(out, "value").first() == (1, 3, pytest.approx(100 / 3))
     assert imputation_summary(fill_gaps(single(spark, []), "value", "date", (), "zero"), "value").first()[2] == 0
+
+
+@pytest.mark.parametrize("how", [dict(method="median"), dict(method="weighted"), dict(method="weighted", neighbors={"A": ["B", "C"]}), dict(neighbors=["B"])])
+def test_borrow_plans_have_no_nested_loops(spark, how):
+    """No join without keys, whether or not small sides are broadcast."""
+    df = daily(spark, {"A": [1, None, 3], "B": [2, 3, 4], "C": [5, None, 9]})
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in (old, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        plan = borrow(df, "value", "date", ["series"], **how)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_long_series_are_filled_in_one_pass(spark):
+    """No frame that shrinks: those are read again for each row."""
+    df = single(spark, [None if i % 7 else i for i in range(1, 30_000)] + [5])
+    for strategy in ("nocb", "linear"):
+        out = fill_gaps(df, "value", "date", strategy=strategy, extrapolate=True)
+        assert "unboundedfollowing$()" not in out._jdf.queryExecution().executedPlan().toString().lower().replace(" ", "")
+        assert out.where("value is null").count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesmill.functions.timeaxis import Frequency, step_after
-from seriesmill.operators.panel import TimeSeriesFrame, detect_frequency, fill_time, future_dates, median_step_dates
+from seriesmill.operators.panel import TimeSeriesFrame, detect_frequency, fill_time, frequency_of, future_dates, median_step_dates
 
 
 def times(spark, step, n=100, start=datetime(2024, 1, 1)):
@@ -135,3 +135,13 @@ def test_trailing_warning_and_checks(spark):
         TimeSeriesFrame.create(single(spark, [1]), "nope")
     empty = TimeSeriesFrame.create(daily(spark, {}), "date", "series", "day", fill_time_gaps=True)
     assert empty.df.count() == 0
+
+
+def test_bounds_of_names_are_strict():
+    assert [frequency_of(x * 86400, True, True).name for x in (6.5, 7.4, 13, 13.5, 15, 28, 31, 92)] == [6, "week", 13, "biweekly", 15, "month", "month", "quarter"]
+    assert frequency_of(57, True, False).name == "minute" and frequency_of(60 * 86400, True, False).name == 60
+    with pytest.raises(ValueError):
+        frequency_of(54, True, False)
+    with pytest.raises(ValueError, match="whole"):
+        Frequency.of(1.5)
+    assert Frequency.of(3.0).name == 3
