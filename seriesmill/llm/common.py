@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import os
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -29,14 +30,28 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. The session names it in spark.checkpoint.dir; only where that is unset, as in tests, a local one is made."""
+    """The folder all executors see. The session names it in spark.checkpoint.dir; only where that is unset and all runs on one machine, as in tests, a local one is made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="seriesmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextmanager
+def without_leftovers(spark: SparkSession):
+    """Shuffle files of what is written meanwhile go when it is written: nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 class Tables:
     """Intermediate tables of one operator run, written under the shared folder.
 
@@ -53,14 +68,16 @@ class Tables:
         return f"{self.top}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(self.path(name))
+        with without_leftovers(self.spark):
+            df.write.option("compression", "zstd").parquet(self.path(name))
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
         """One sorted file a bucket: later joins and groupings on ``key`` read it without another shuffle."""
         table = f"t_{uuid.uuid4().hex}"
-        df.repartition(buckets, key).write.option("compression", "zstd").bucketBy(buckets, key).sortBy(key).option("path", self.path(name)).saveAsTable(table)
+        with without_leftovers(self.spark):
+            df.repartition(buckets, key).write.option("compression", "zstd").bucketBy(buckets, key).sortBy(key).option("path", self.path(name)).saveAsTable(table)
         self.catalog[name] = table
         return self.spark.table(table)
 
@@ -88,6 +105,21 @@ def row_id(df: DataFrame) -> Column | None:
     return F.xxhash64("_metadata.file_path", "_metadata.row_index")
 
 
+def bit_map(df: DataFrame, key: Column, bits: int) -> DataFrame:
+    """(__cell, __bits): the places among ``bits`` that whole-number keys fall on; at most bits / 64 rows for any number of keys, so it can be broadcast."""
+    place = F.pmod(key, F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    return df.select(F.floor(place / 64).cast("int").alias("__cell"), one.alias("__bits")).groupBy("__cell").agg(F.bit_or("__bits").alias("__bits"))
+
+
+def with_mark(df: DataFrame, key: Column, cells: DataFrame, bits: int) -> DataFrame:
+    """Adds ``__maybe``: false only where no key of the map is equal."""
+    place = F.pmod(key, F.lit(bits))
+    there = F.call_function("shiftrightunsigned", F.col("__bits"), F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    marked = df.withColumn("__cell", F.floor(place / 64).cast("int")).join(F.broadcast(cells), "__cell", "left")
+    return marked.withColumn("__maybe", F.coalesce(there, F.lit(False))).drop("__cell", "__bits")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,41 +1,42 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The model is a bigram model interpolated with unigrams. Quantised counts of
-unigrams and bigrams are kept in one Bloom filter: an n-gram of count c is
-inserted with the levels 1..q, q = 1 + floor(log_ratio(c)), and its count
-is read back by probing level after level until one is absent. The filter is
-built in shards of the n-gram hash, each by the task that holds the shard's
-counts, and has ``BITS_PER_INSERT`` bits for each insert at every size.
-
-Bounds: a filter of at most ``filter_mb`` is joined on the driver and broadcast.
-A larger one stays in its shards: the different n-grams of some 200,000 tokens at a
-time are shuffled to them and their levels back, which gives the same scores. All
-n-grams of the training texts are kept, those seen once too. Up to ``HEAD`` of the most frequent words are
-broadcast with exact counts; the exact counts of all other words meet their
-documents in a shuffle join, so the base score is exact at every size and no
-frequent word is a join key.
+The model is a bigram model interpolated with unigrams. Quantised counts of all
+unigrams and bigrams of the training texts are kept in one Bloom filter: an n-gram
+of count c is inserted with the levels 1..q, q = 1 + floor(log_ratio(c)), and its
+count is read back by probing level after level until one is absent. The filter is
+cut into shards of the n-gram hash, each built by the task that adds up the shard's
+counts, and has ``bits`` bits for each insert at every size. No n-gram is dropped.
+
+A filter that is sure to fit (two inserts a training token at most) below
+``filter_mb``, the session's broadcast threshold unless given, is joined on the
+driver and broadcast. Any other stays in its shards: the different n-grams of some
+300,000 tokens at a time are sent there with their training counts, and the levels
+come back. Both ways give the same scores. Shards are as many as keep the keys of
+one task at some ``SHARD_TOKENS``, whatever the size of the corpus.
+
+The base score needs exact counts. Those of up to ``HEAD`` of the most frequent
+words are broadcast; those of all others meet their documents in a shuffle join, so
+that no frequent word is a join key. ``score`` takes no count from there.
 
 Null text: empty, so only the end token. Null doc_id: its text is taken as '',
-which puts it into training. Repeated rows and ids are scored each for itself.
-Very long texts are processed whole. Empty table: no rows. Other columns, of any
-name, are not read.
+which puts it into training. Ids may have any type. Repeated rows and ids are
+scored each for itself. Very long texts are processed whole. Empty table: no rows.
+Other columns, of any name, are not read.
 """
 
 from __future__ import annotations
 
-import gc
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Tables, WordHashes, mixed, shuffle_partitions, word_hash
+from .common import BASE, Tables, mixed, shuffle_partitions, word_hash
 
 END = b"\n"  # no word holds a blank, so the end token is none of them
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -43,8 +44,12 @@ HEAD = 100_000
 RATIO = 1.5
 BITS_PER_INSERT = 10
 PROBES = 5
+CHUNK_TOKENS = 300_000
+SHARD_TOKENS = 4_000_000
 START = np.uint64(0x1234567)
 ONE = np.uint64(0xA5A5A5A5A5A5A5A5)  # sets unigram keys apart from bigram keys
+#: Inside its shard a key is its last 48 bits.
+LOW = np.uint64((1 << 48) - 1)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -58,9 +63,11 @@ def pair_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mixed(before + h * BASE)
 
 
-def shifted(h: np.ndarray) -> np.ndarray:
-    """The token before each one of a text; a start mark for the first."""
-    return np.concatenate([[START], h[:-1]])
+def shifted(x: np.ndarray, first: np.ndarray, start) -> np.ndarray:
+    """The value before each one of some texts; ``start`` for the first of each."""
+    out = np.concatenate([x[:1], x[:-1]])
+    out[first] = start
+    return out
 
 
 def unigram_keys(h: np.ndarray) -> np.ndarray:
@@ -71,59 +78,68 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(RATIO) + 1e-9).astype(np.int64)
 
 
+#: No 64-bit count has more levels; a filter whose bits are all set answers this.
+MOST = int(levels(np.array([2.0**63]))[0])
+#: The least count of a level, and a bound that no count of the level exceeds; level 0 is an n-gram not seen.
+LEAST = np.concatenate([[0.0], np.ceil(RATIO ** np.arange(MOST) - 1e-9)])
+BOUND = np.concatenate([[0.0], RATIO ** np.arange(1, MOST + 1)])
+
+
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 5 == 1
 
 
-def positions(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
-    """The bits that an n-gram at a level has inside its shard."""
-    a = mixed(keys + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of the key, so that sorted keys lie shard by shard."""
+    return (((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def positions(keys: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
+    """The bits that an n-gram at a level has inside its shard of ``bits`` bits."""
+    a = mixed((keys & LOW) + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
     b = mixed(a) | np.uint64(1)
+    size = np.asarray(bits).astype(np.uint64)
     for _ in range(PROBES):
-        yield (((a >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)).astype(np.int64)
+        yield (((a >> np.uint64(32)) * size) >> np.uint64(32)).astype(np.int64)
         a = a + b
 
 
+def filled(keys: np.ndarray, q: np.ndarray, per_insert: int) -> np.ndarray:
+    """The bytes of a shard that holds the keys with their levels."""
+    bits = max(64, -(-int(q.sum()) * per_insert // 8) * 8)
+    data = np.zeros(bits, bool)
+    level = 1
+    while len(keys):
+        for p in positions(keys, level, bits):
+            data[p] = True
+        level += 1
+        keys, q = keys[q >= level], q[q >= level]
+    return np.packbits(data, bitorder="little")
+
+
 class Filter:
-    """Shards of ``bits`` bits each, one after the other; the shard of a key is key mod shards."""
+    """Shards one after the other; ``sizes`` are their bytes."""
 
-    def __init__(self, data: np.ndarray, shards: int, bits: int):
-        self.data, self.shards, self.bits = data, shards, bits
+    def __init__(self, data: np.ndarray, sizes: np.ndarray):
+        self.data, self.bits = data, sizes * 8
+        self.starts = np.cumsum(self.bits) - self.bits
 
     def level_of(self, keys: np.ndarray) -> np.ndarray:
-        """How many levels each key has, 0 where it is absent; each different key is probed once."""
-        keys, back = np.unique(keys, return_inverse=True)
-        out = np.zeros(len(keys), np.int64)
-        start = (keys % np.uint64(self.shards)).astype(np.int64) * self.bits
-        at, level = np.arange(len(keys)), 0
-        while len(at):
+        """How many levels each of some different keys has, 0 where it is absent."""
+        out = np.zeros(len(keys), np.uint8)
+        shard = shard_of(keys, len(self.bits)) if len(self.bits) > 1 else np.zeros(len(keys), np.int64)
+        start, bits = self.starts[shard], self.bits[shard]
+        at, level = np.flatnonzero(bits), 0
+        while len(at) and level < MOST:
             level += 1
-            a = mixed(keys[at] + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
+            a = mixed((keys[at] & LOW) + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
             b = mixed(a) | np.uint64(1)
             for _ in range(PROBES):  # the same places as positions(), but only for keys not yet ruled out
-                q = start[at] + (((a >> np.uint64(32)) * np.uint64(self.bits)) >> np.uint64(32)).astype(np.int64)
-                there = (self.data[q >> 3] >> (q & 7).astype(np.uint8)) & 1 == 1
+                p = start[at] + (((a >> np.uint64(32)) * bits[at].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+                there = (self.data[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
                 at, a, b = at[there], (a + b)[there], b[there]
             out[at] = level
-        return out[back]
-
-
-class Answers:
-    """The levels that the shards gave for some keys, in place of the filter."""
-
-    def __init__(self, keys: np.ndarray, found: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.found = keys[order], found[order].astype(np.int64)
-
-    def level_of(self, keys: np.ndarray) -> np.ndarray:
-        return self.found[np.searchsorted(self.keys, keys)]
-
-
-def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that puts keys shard by shard, and where each shard begins and the last ends."""
-    shard = (keys % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+        return out
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -146,312 +162,231 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-LEVELS = "shard long, keys binary, levels binary, inserts long"
-
-
-def bigram_counts(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, keys, levels, inserts): the bigrams of docs(text), as sorted arrays, a row per shard."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
-
-        def out():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            order, ends = by_shard(keys, shards)
-            keys, counts = keys[order], counts[order].astype(np.uint32)
-            rows = [(s, keys[i:j].tobytes(), counts[i:j].tobytes()) for s, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "counts"])
-
-        for b in batches:
-            for t in b.column("text"):
-                h = hashes.of(tokens(t.as_py()))
-                k = pair_keys(shifted(h), h)
-                held.append(k)
-                size += len(k)
-                if size > 3_000_000:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for b in batches:
-            for s, k, c in zip(*(b.column(i) for i in range(3)), strict=True):
-                parts.setdefault(s.as_py(), []).append((np.frombuffer(k.as_py(), np.uint64), np.frombuffer(c.as_py(), np.uint32)))
-        for s in sorted(parts):
-            got = parts.pop(s)
-            keys, at = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate([x[1] for x in got]), minlength=len(keys)).astype(np.int64)
-            q = levels(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([q.astype(np.uint8).tobytes()], pa.binary()), pa.array([int(q.sum())], pa.int64())], names=["shard", "keys", "levels", "inserts"])
-
-    kind = "shard long, keys binary, counts binary"
-    return docs.select("text").mapInArrow(count, kind).repartition(shards, "shard").mapInArrow(total, LEVELS)
-
-
 class Words(dict):
-    """Number of each word seen by a task, with its hash and its place among the head words; ``fresh`` empties it when it is large."""
+    """Number of each word seen by a task, with its hash and its place among the head words; ``of`` empties it when it is large."""
 
     def __init__(self, head: dict[bytes, int], limit: int = 400_000):
         super().__init__()
         self.head, self.limit, self.hashes, self.places = head, limit, array("Q"), array("q")
 
-    def fresh(self) -> None:
-        if len(self) > self.limit:
-            self.clear()
-            self.hashes, self.places = array("Q"), array("q")
-
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         self.hashes.append(word_hash(word))
         self.places.append(self.head.get(word, -1))
         return n
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        self.fresh()
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the words among the different ones in hand, and the hashes and places of those."""
+        if len(self) > self.limit:
+            self.clear()
+            self.hashes, self.places = array("Q"), array("q")
         n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        used = np.zeros(len(self), bool)
+        used[n] = True
+        number = np.cumsum(used) - 1
+        at = np.flatnonzero(used)
         # copies: an array that numpy looks into cannot grow
-        return np.array(self.hashes, np.uint64)[n], np.array(self.places, np.int64)[n]
+        return number[n], np.array(self.hashes, np.uint64)[at], np.array(self.places, np.int64)[at]
 
-    def part(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of the words among the different ones, and hashes and places of those; for words that ``of`` was asked for last."""
-        n, back = np.unique(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), return_inverse=True)
-        return back.astype(np.uint32), np.array(self.hashes, np.uint64)[n], np.array(self.places, np.int64)[n]
 
+#: The texts of one chunk, in the row of the first of them: their uids, sizes and whether they train; the number of each token's word, and the words' hashes.
+PART = ("uids", "sizes", "train", "words", "hashes")
 
-class Model:
-    """What goes to the workers: head words with exact counts, the filter (its data is None where it stays in shards) and a few numbers."""
 
-    def __init__(self, head: dict[bytes, int], head_counts: np.ndarray, filter_: Filter | Answers, n: int, v: int, weight: float):
-        self.head, self.head_counts, self.filter, self.n, self.v, self.weight = head, head_counts, filter_, n, v, weight
-        self.denominator = n + 0.5 * (v + 1)
+def packed(x: np.ndarray, top: int) -> bytes:
+    """Whole numbers up to ``top`` in as few bytes as hold it."""
+    return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max)).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}") if n else np.empty(0, np.uint8)
+
+
+class Chunk:
+    """A part, opened: what its n-grams are and how often its training texts have them."""
 
-    def parts(self) -> tuple:
-        """Plain values, for a broadcast: those are pickled by reference to their classes."""
-        f = self.filter
-        return self.head, self.head_counts, (f.data, f.shards, f.bits), self.n, self.v, self.weight
+    def __init__(self, part: dict):
+        self.uids = np.frombuffer(part["uids"], np.int64)
+        self.sizes = unpacked(part["sizes"], len(self.uids)).astype(np.int64)
+        self.hashes = np.frombuffer(part["hashes"], np.uint64)
+        self.words = unpacked(part["words"], int(self.sizes.sum())).astype(np.int64)
+        self.train = np.frombuffer(part["train"], bool)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.first = np.zeros(len(self.words), bool)
+        self.first[self.starts] = True
+        h = self.hashes[self.words]
+        every = np.concatenate([unigram_keys(self.hashes), pair_keys(shifted(h, self.first, START), h)])
+        self.keys, self.place = np.unique(every, return_inverse=True)
 
-    @classmethod
-    def of(cls, parts: tuple) -> Model:
-        head, counts, f, *rest = parts
-        return cls(head, counts, Filter(*f), *rest)
+    def counts(self) -> np.ndarray:
+        """Training count of each key."""
+        own = np.repeat(self.train, self.sizes).astype(float)
+        weights = np.concatenate([np.bincount(self.words, own, len(self.hashes)), own])
+        return np.bincount(self.place, weights, len(self.keys)).astype(np.int64)
 
-    def score(self, h: np.ndarray, place: np.ndarray, first: np.ndarray, starts: int) -> np.ndarray:
-        """log10 probability of each token of some texts, of which ``first`` marks the first tokens.
+    def scores(self, found: np.ndarray, n: int, v: int, texts: int, weight: float) -> np.ndarray:
+        """log10 probability of each text, from the level of each key.
 
         Lower bounds of the counts above, upper bounds below, so that no history's
         words add up to more than one but for the filter's false positives.
         """
-        known = place >= 0
-        low = np.where(known, self.head_counts[place], 0).astype(float)
-        high = low.copy()
-        if not known.all():
-            q = self.filter.level_of(unigram_keys(h[~known]))
-            low[~known] = np.where(q > 0, np.ceil(RATIO ** (q - 1.0)), 0)
-            high[~known] = np.where(q > 0, RATIO ** q.astype(float), 0)
-        uni = (low + 0.5) / self.denominator
-        before, history = shifted(h), np.concatenate([[0.0], high[:-1]])
-        before[first], history[first] = START, starts
-        q = self.filter.level_of(pair_keys(before, h))
-        pair = np.where(q > 0, RATIO ** (q - 1.0), 0)
-        share = np.minimum(1.0, pair / np.maximum(1.0, history))
-        return np.log10(self.weight * share + (1 - self.weight) * uni)
-
-    def asked(self, h: np.ndarray, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The different keys that score() looks up, shard by shard, and where each shard begins and the last ends."""
-        before = shifted(h)
-        before[first] = START
-        keys = np.unique(np.concatenate([unigram_keys(h[place < 0]), pair_keys(before, h)]))
-        order, ends = by_shard(keys, self.filter.shards)
-        return keys[order], ends
-
-
-FILTER = "shard long, data binary"
-
-
-def train(docs: DataFrame, tables: Tables, *, weight: float = 0.3, filter_mb: int = 64) -> tuple[Model, DataFrame, int]:
-    """The model of docs(text), the exact counts (token, c), and the number of documents."""
-    spark = docs.sparkSession
-    shards = shuffle_partitions(spark)
-    vocabulary = tables.save(word_counts(docs), "words")
-    n, v, texts = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("token") == F.lit(END), F.col("c"))), F.lit(0))).first()
-    # the count that at most HEAD words reach, from a histogram of some hundred rows; no sort of the vocabulary
-    bin_ = F.floor(F.log(F.col("c").cast("double")) / F.log(F.lit(1.05))).cast("int")
-    bins = vocabulary.groupBy(bin_.alias("b")).agg(F.count("*").alias("m")).orderBy(F.col("b").desc()).collect()
-    fits = [b for b, total in zip((r.b for r in bins), accumulate(r.m for r in bins), strict=True) if total <= HEAD]
-    top = vocabulary.where(bin_ >= (fits[-1] if fits else 2**30)).toPandas()
-    head = {bytes(t): i for i, t in enumerate(top["token"])}
-    head_counts = np.concatenate([top["c"].to_numpy(np.int64), [0]])  # place -1 reads the last
-
-    pairs = tables.save(bigram_counts(docs, shards), "pairs")
-
-    hashes = tables.save(vocabulary.select("token", "c").mapInPandas(keyed(shards), LEVELS), "hashes")
-    both = pairs.unionByName(hashes)
-    inserts = both.agg(F.coalesce(F.sum("inserts"), F.lit(0))).first()[0]
-    bits = max(64, -(-inserts * BITS_PER_INSERT // (shards * 8)) * 8)
-
-    def built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: dict[int, np.ndarray] = {}
-        for b in batches:
-            for s, keys, found in zip(b["shard"], b["keys"], b["levels"], strict=True):
-                data = done.setdefault(int(s), np.zeros(bits, bool))
-                k, q = np.frombuffer(keys, np.uint64), np.frombuffer(found, np.uint8)
-                level = 1
-                while len(k):
-                    for p in positions(k, level, bits):
-                        data[p] = True
-                    level += 1
-                    k, q = k[q >= level], q[q >= level]
-        for s, data in done.items():
-            yield pd.DataFrame({"shard": [s], "data": [np.packbits(data, bitorder="little").tobytes()]})
-
-    rows = tables.save(both.select("shard", "keys", "levels").repartition(shards, "shard").mapInPandas(built, FILTER), "filter")
-    tables.drop("pairs", "hashes")
-    data = None
-    if shards * bits <= filter_mb * 8_000_000:
-        data = np.zeros(shards * bits // 8, np.uint8)
-        for s, d in rows.toLocalIterator():  # filter_mb in all, a few shards at a time
-            data[s * bits // 8 : (s + 1) * bits // 8] = np.frombuffer(d, np.uint8)
-        tables.drop("filter")
-    return Model(head, head_counts, Filter(data, shards, bits), int(n), int(v), weight), vocabulary, int(texts)
-
-
-def keyed(shards: int):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for b in batches:
-            keys, c = unigram_keys(hashes.of(list(map(bytes, b["token"])))), b["c"].to_numpy(np.int64)
-            order, ends = by_shard(keys, shards)
-            keys, q = keys[order], levels(c[order])
-            yield pd.DataFrame([(s, keys[i:j].tobytes(), q[i:j].astype(np.uint8).tobytes(), int(q[i:j].sum())) for s, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i], columns=["shard", "keys", "levels", "inserts"])
+        q = found[self.place]
+        word, pair = q[: len(self.hashes)], q[len(self.hashes) :]
+        uni = ((LEAST[word] + 0.5) / (n + 0.5 * (v + 1)))[self.words]
+        history = shifted(BOUND[word][self.words], self.first, texts)
+        share = np.minimum(1.0, LEAST[pair] / np.maximum(1.0, history))
+        return np.add.reduceat(np.log10(weight * share + (1 - weight) * uni), self.starts)
 
-    return rows
 
+ASKS = "shard long, chunk long, keys binary, counts binary"
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, score double, tail array<struct<token:binary,n:int>>"
-#: The texts of one flush, for a filter that stays in shards; in the row of the first of them.
-PART = "part struct<uids:binary,sizes:binary,words:binary,hashes:binary,places:binary>"
-PARTS = ("uids", "sizes", "words", "hashes", "places")
 
+def asks_of(parts: DataFrame, shards: int) -> DataFrame:
+    """(shard, chunk, keys, counts): the different n-grams of each chunk, by shard."""
 
-def opened(part: dict) -> tuple[np.ndarray, ...]:
-    """uids and starts of the texts of a part; hash, place and whether it begins a text, of each of its tokens."""
-    uids, sizes, words, hashes, places = (np.frombuffer(part[x], t) for x, t in zip(PARTS, (np.int64, np.int64, np.uint32, np.uint64, np.int64), strict=True))
-    starts = np.cumsum(sizes) - sizes
-    first = np.zeros(len(words), bool)
-    first[starts] = True
-    return uids, starts, hashes[words], places[words], first
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, part in zip(b.column("chunk").to_pylist(), b.column("part"), strict=True):
+                c = Chunk(part.as_py())
+                counts, ends = c.counts(), np.searchsorted(shard_of(c.keys, shards), np.arange(shards + 1))
+                low = np.ascontiguousarray(c.keys[:, None].view(np.uint8)[:, :6])
+                at = [(s, i, j) for s, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
+                cols = ([s for s, _, _ in at], [chunk] * len(at), [low[i:j].tobytes() for _, i, j in at], [packed(counts[i:j], int(counts[i:j].max())) for _, i, j in at])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "chunk", "keys", "counts"])
 
+    return parts.mapInArrow(ask, ASKS).repartition(shards, "shard").sortWithinPartitions("shard")
 
-def forget(spark) -> None:
-    """Shuffle files that nothing reads any more go when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
+ANSWERS = "shard long, chunk long, data binary"
 
-def looked_up(rows: DataFrame, filter_: DataFrame, tables: Tables, shared, texts: int) -> DataFrame:
-    """(uid, score) of the texts in rows(uid, part), with the filter's shards left where they are; a part's number is the uid of its row."""
-    shards = Model.of(shared.value).filter.shards
-    parts = rows.where(F.col("part").isNotNull()).select(F.col("uid").alias("chunk"), "part")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model.of(shared.value)
-        for b in batches:
-            for chunk, part in zip(b.column("chunk"), b.column("part"), strict=True):
-                _, _, h, place, first = opened(part.as_py())
-                keys, ends = m.asked(h, place, first)
-                own = [(s, chunk.as_py(), keys[i:j].tobytes()) for s, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*own, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "chunk", "data"])
+def answers_of(asks: DataFrame, per_insert: int, whole: bool) -> DataFrame:
+    """Each shard's filter (whole; chunk is null), or the levels that it has for the keys of each chunk."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, own, f = Model.of(shared.value).filter.bits, None, None
-        for b in batches:
-            chunks, at, out = b.column("chunk").to_pylist(), b.column("shard").to_pylist(), []
-            for s, chunk, data in zip(at, chunks, b.column("data"), strict=True):
-                if chunk is None:  # first among the rows of its shard
-                    own, f = s, Filter(np.frombuffer(data.as_py(), np.uint8), 1, bits)
-                else:
-                    keys = np.frombuffer(data.as_py(), np.uint64)
-                    found = f.level_of(keys) if s == own else np.zeros(len(keys))  # no n-gram of the training texts is in that shard
-                    out.append((s, chunk, found.astype(np.uint8).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "chunk", "data"])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model.of(shared.value)
-        part, found = None, []
-
-        def scores():
-            uids, starts, h, place, first = opened(part)
-            keys, _ = m.asked(h, place, first)
-            m.filter = Answers(keys, np.frombuffer(b"".join(found), np.uint8))
-            got = np.add.reduceat(m.score(h, place, first, texts), starts)
-            m.filter = whole
-            return pa.RecordBatch.from_arrays([pa.array(uids), pa.array(got)], names=["uid", "score"])
-
-        whole = m.filter
-        for b in batches:
-            for p, data in zip(b.column("part"), b.column("data"), strict=True):
-                if p.is_valid:  # first among the rows of its chunk
-                    if part is not None:
-                        yield scores()
-                    part, found = p.as_py(), []
-                else:
-                    found.append(data.as_py())
-        if part is not None:
-            yield scores()
-
-    kind = "shard long, chunk long, data binary"
-    asks = parts.mapInArrow(ask, kind).unionByName(filter_.select("shard", F.lit(None).cast("long").alias("chunk"), "data"))
-    forget(rows.sparkSession)
-    answers = tables.save(asks.repartition(shards, "shard").sortWithinPartitions("shard", F.col("chunk").asc_nulls_first()).mapInArrow(answer, kind), "answers")
-    forget(rows.sparkSession)
-    both = parts.select(F.lit(-1).cast("long").alias("shard"), "chunk", F.lit(None).cast("binary").alias("data"), "part").unionByName(answers, allowMissingColumns=True)
-    return both.repartition(shards, "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(finish, "uid long, score double")
-
-
-def score_documents(docs: DataFrame, *, weight: float = 0.3, filter_mb: int = 64) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, a row per row of docs(doc_id, text). filter_mb: the largest filter that is broadcast."""
-    spark = docs.sparkSession
-    tables = Tables(spark, "lm")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    model, vocabulary, texts = train(d.where(~F.col("held_out")).select("text"), tables, weight=weight, filter_mb=filter_mb)
-    shared = spark.sparkContext.broadcast(model.parts())
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model.of(shared.value)
-        table = Words(m.head)
-        logs = np.log10((m.head_counts + 0.5) / m.denominator)
-        names = ["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score", "tail", "part"]
-        kinds = pa.struct([(x, pa.binary()) for x in PARTS])
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        held: list[tuple] = []
+
+        def out(shard):
+            wide = np.zeros((sum(len(k) for _, k, _ in held), 8), np.uint8)
+            wide[:, :6] = np.concatenate([k for _, k, _ in held])
+            keys, back = np.unique(wide.view(np.uint64)[:, 0], return_inverse=True)
+            total = np.bincount(back, np.concatenate([c for _, _, c in held]), len(keys))
+            data = filled(keys[total > 0], levels(total[total > 0]), per_insert)
+            if whole:
+                rows = [(None, data.tobytes())]
+            else:
+                found = Filter(data, np.array([len(data)])).level_of(keys)[back]
+                ends = np.cumsum([0] + [len(k) for _, k, _ in held])
+                rows = [(chunk, found[i:j].tobytes()) for (chunk, _, _), i, j in zip(held, ends, ends[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int64()), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], names=["shard", "chunk", "data"])
+
+        now = None
+        for b in batches:  # rows come sorted by shard
+            for shard, chunk, keys, counts in zip(b.column("shard").to_pylist(), b.column("chunk").to_pylist(), b.column("keys"), b.column("counts"), strict=True):
+                if held and shard != now:
+                    yield out(now)
+                    held.clear()
+                now = shard
+                low = np.frombuffer(keys.as_py(), np.uint8).reshape(-1, 6)
+                held.append((chunk, low, unpacked(counts.as_py(), len(low))))
+        if held:
+            yield out(now)
+
+    return asks.mapInArrow(answer, ANSWERS)
+
+
+class Model:
+    """Exact counts and numbers of the training texts, and where the n-grams' levels come from: a whole filter, or the answers of its shards."""
+
+    def __init__(self, vocabulary: DataFrame, n: int, v: int, texts: int, weight: float):
+        self.vocabulary, self.n, self.v, self.texts, self.weight = vocabulary, n, v, texts, weight
+        self.denominator = n + 0.5 * (v + 1)
+        self.filter: Filter | None = None
+
+    def head(self) -> tuple[dict[bytes, int], np.ndarray]:
+        """Places of the most frequent words, at most HEAD, and their counts; place -1 reads the last."""
+        # the count that at most HEAD words reach, from a histogram of some hundred rows; no sort of the vocabulary
+        bin_ = F.floor(F.log(F.col("c").cast("double")) / F.log(F.lit(1.05))).cast("int")
+        bins = self.vocabulary.groupBy(bin_.alias("b")).agg(F.count("*").alias("m")).orderBy(F.col("b").desc()).collect()
+        fits = [b for b, total in zip((r.b for r in bins), accumulate(r.m for r in bins), strict=True) if total <= HEAD]
+        top = self.vocabulary.where(bin_ >= (fits[-1] if fits else 2**30)).toPandas()
+        return {bytes(t): i for i, t in enumerate(top["token"])}, np.concatenate([top["c"].to_numpy(np.int64), [0]])
+
+    def scored(self, parts: DataFrame, answers: DataFrame | None) -> DataFrame:
+        """(uid, score) of the texts in parts(chunk, part)."""
+        n, v, texts, weight = self.n, self.v, self.texts, self.weight
+
+        def rows(c: Chunk, found: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c.uids), pa.array(c.scores(found, n, v, texts, weight))], names=["uid", "score"])
+
+        if answers is None:
+            shared = parts.sparkSession.sparkContext.broadcast((self.filter.data, self.filter.bits // 8))
+
+            def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                f = Filter(*shared.value)
+                for b in batches:
+                    for part in b.column("part"):
+                        c = Chunk(part.as_py())
+                        yield rows(c, f.level_of(c.keys))
+
+            return parts.select("part").mapInArrow(probe, "uid long, score double")
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c, found = None, []
+            for b in batches:
+                for part, data in zip(b.column("part"), b.column("data"), strict=True):
+                    if part.is_valid:  # first among the rows of its chunk; the answers follow shard by shard, as the keys lie
+                        if c is not None:
+                            yield rows(c, np.frombuffer(b"".join(found), np.uint8))
+                        c, found = Chunk(part.as_py()), []
+                    else:
+                        found.append(data.as_py())
+            if c is not None:
+                yield rows(c, np.frombuffer(b"".join(found), np.uint8))
+
+        own = parts.select(F.lit(-1).cast("long").alias("shard"), "chunk", F.lit(None).cast("binary").alias("data"), "part")
+        both = own.unionByName(answers, allowMissingColumns=True)
+        return both.repartition(shuffle_partitions(parts.sparkSession), "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(finish, "uid long, score double")
+
+
+def counted(docs: DataFrame, tables: Tables, weight: float = 0.3) -> Model:
+    """The exact counts of docs(text)."""
+    vocabulary = tables.save(word_counts(docs), "words")
+    n, v, texts = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("token") == F.lit(END), F.col("c"))), F.lit(0))).first()
+    return Model(vocabulary, int(n), int(v), int(texts), weight)
+
+
+def chunks(docs: DataFrame, model: Model) -> DataFrame:
+    """uid, doc_id, held_out, n_tokens, head_known, head_sum, tail, part for docs(uid, doc_id, held_out, text): all that needs the texts, read once."""
+    head, head_counts = model.head()
+    shared = docs.sparkSession.sparkContext.broadcast((head, head_counts))
+    denominator = model.denominator
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, head_counts = shared.value
+        table = Words(head)
+        logs = np.log10((head_counts + 0.5) / denominator)
+        names = ["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "tail", "part"]
+        kinds = pa.struct([(x, pa.binary()) for x in PART])
         for b in batches:
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], []]
             tail_tokens, tail_counts, tail_ends = [], [], [0]
             held: list[list[bytes]] = []
-            uids, parts = b.column("uid").to_numpy(), []
+            uids, train, parts = b.column("uid").to_numpy(), ~b.column("held_out").to_numpy(zero_copy_only=False).astype(bool), []
 
             def flush():
                 size = np.array([len(x) for x in held])
                 ends = np.cumsum(size)
                 starts = ends - size
                 words = [w for x in held for w in x]
-                h, place = table.of(words)
+                number, hashes, places = table.of(words)
+                place = places[number]
                 known = place >= 0
-                first = np.zeros(len(words), bool)
-                first[starts] = True
-                if m.filter.data is None:
-                    own = uids[len(cols[0]) : len(cols[0]) + len(held)]
-                    parts.extend([dict(zip(PARTS, (x.tobytes() for x in (own, size, *table.part(words))), strict=True))] + [None] * (len(held) - 1))
-                    got = np.zeros(len(words))
-                else:
-                    parts.extend([None] * len(held))
-                    got = m.score(h, place, first, texts)
+                own = slice(len(cols[0]), len(cols[0]) + len(held))
+                parts.extend([dict(zip(PART, (uids[own].tobytes(), packed(size, int(size.max())), train[own].tobytes(), packed(number, len(hashes)), hashes.tobytes()), strict=True))] + [None] * (len(held) - 1))
                 cols[0] += size.tolist()
                 cols[1] += np.add.reduceat(known.astype(np.int64), starts).tolist()
                 cols[2] += np.add.reduceat(np.where(known, logs[place], 0.0), starts).tolist()
-                cols[3] += np.add.reduceat(got, starts).tolist()
                 rare = np.flatnonzero(~known)
                 bounds = np.searchsorted(rare, np.concatenate([starts, ends[-1:]])).tolist()
                 rare = rare.tolist()
@@ -466,27 +401,54 @@ def score_documents(docs: DataFrame, *, weight: float = 0.3, filter_mb: int = 64
             for t in b.column("text"):
                 held.append(tokens(t.as_py()))
                 size += len(held[-1])
-                if size > 200_000:
+                if size > CHUNK_TOKENS:
                     flush()
                     size = 0
             if held:
                 flush()
             pairs = pa.StructArray.from_arrays([pa.array(tail_tokens, pa.binary()), pa.array(tail_counts, pa.int32())], ["token", "n"])
             tail = pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), pairs)
+            types = (pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(x) for x in names[:3]] + [pa.array(c, k) for c, k in zip(cols, types, strict=True)] + [tail, pa.array(parts, kinds)], names=names)
 
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    kind = f"uid long, doc_id {id_type}, held_out boolean, n_tokens long, head_known long, head_sum double, tail array<struct<token:binary,n:int>>, part struct<{','.join(f'{x}:binary' for x in PART)}>"
+    return docs.mapInArrow(read, kind)
+
+
+def scores_of(parts: DataFrame, model: Model, tables: Tables, filter_mb: float | None, per_insert: int) -> DataFrame:
+    """(uid, score) of parts(chunk, part): builds the filter, and reads it where it is."""
+    spark = parts.sparkSession
+    shards = max(shuffle_partitions(spark), model.n // SHARD_TOKENS + 1)
+    most = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() if filter_mb is None else filter_mb * 1e6
+    # a token adds two counts, and a count of c has at most c levels
+    whole = 2 * model.n * per_insert / 8 + 8 * shards <= most
+    answers = tables.save(answers_of(asks_of(parts, shards), per_insert, whole), "answers")
+    if whole:
+        found = {r.shard: np.frombuffer(r.data, np.uint8) for r in answers.select("shard", "data").toLocalIterator()}
+        pieces = [found.get(s, np.empty(0, np.uint8)) for s in range(shards)]
+        model.filter = Filter(np.concatenate(pieces), np.array([len(p) for p in pieces]))
+    scores = tables.save(model.scored(parts, None if whole else answers), "scores")
+    tables.drop("answers")
+    return scores
+
+
+def score_documents(docs: DataFrame, *, weight: float = 0.3, filter_mb: float | None = None, per_insert: int = BITS_PER_INSERT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, a row per row of docs(doc_id, text).
+
+    weight: of the bigrams. filter_mb: the largest filter that is broadcast, the session's broadcast threshold if None. per_insert: bits.
+    """
+    tables = Tables(docs.sparkSession, "lm")
+    d = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    model = counted(d.where(~F.col("held_out")).select("text"), tables, weight)
     # the ids given to rows are fixed by writing them
-    rows = tables.save(d.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(scored, f"{SCORED}, {PART}"), "scored")
-    if model.filter.data is None:
-        filter_ = spark.read.schema(FILTER).parquet(tables.path("filter"))
-        scores = tables.save(looked_up(rows.select("uid", "part"), filter_, tables, shared, texts), "scores")
-        tables.drop("filter", "answers")
-        rows = rows.drop("score").join(scores, "uid")
-    rows = rows.drop("part")
-    tail = rows.select("uid", F.explode("tail").alias("x")).select("uid", "x.token", "x.n").join(vocabulary, "token", "left")
+    rows = tables.save(chunks(d.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text"), model), "rows")
+    parts = rows.where(F.col("part").isNotNull()).select(F.col("uid").alias("chunk"), "part")
+    scores = scores_of(parts, model, tables, filter_mb, per_insert)
+    tail = rows.select("uid", F.explode("tail").alias("x")).select("uid", "x.token", "x.n").join(model.vocabulary, "token", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / model.denominator)
     tail = tail.groupBy("uid").agg(F.sum(F.col("n") * log).alias("tail_sum"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"))
-    out = rows.drop("tail").join(tail, "uid", "left")
+    out = rows.drop("tail", "part").join(scores, "uid").join(tail, "uid", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("head_known") + zero("tail_known")).cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
