@@ -2,20 +2,29 @@
 
 Documents with the same set of word shingles are one class from the start. Sets
 whose MinHash signatures agree on a band fall into a bucket; buckets that share
-sets form coarse groups (connected components, distributed). Inside a group every
-pair is looked at in tiles of at most ``BLOCK`` by ``BLOCK`` sets: MinHash values
-are compared ``STEP`` at a time, a pair is dropped once the posterior probability
-that its similarity reaches the threshold (uniform prior) is below ``tolerance``,
-and the rest are verified on the exact shingle sets. Tiles return counts of links
-and a spanning forest, never pairs, and a group of any size is spread over tiles.
+sets form coarse groups (connected components, distributed). A group is looked at
+in tiles of at most ``BLOCK`` by ``BLOCK`` sets, in the way that sends fewer sets:
+either all its pairs, or, for groups that hang together by small buckets, only the
+pairs of each bucket, a pair in the first of its buckets alone. In a tile MinHash
+values are compared ``STEP`` at a time, a pair is dropped once the posterior
+probability that its similarity reaches the threshold (uniform prior) is below
+``tolerance``, and the rest are verified on the exact shingle sets. Tiles return
+counts of links and a spanning forest, never pairs, and a group of any size is
+spread over tiles.
+
+Cost: a group of n different texts whose buckets are as large as itself (near copies
+of one text) takes n * n / 2 comparisons, as its links are to be counted, and sends
+n * n / BLOCK sets; others take 40 times their sets at most times the blocks of
+their largest bucket.
 
 40 bands of 5 miss a pair at similarity 0.8 with probability (1 - 0.8**5)**40 =
 1.3e-7, above that with less. Shingles and sets are compared by 64-bit hashes.
 
 Null text or one without words: a class of its own, no links. A text shorter than
-the shingle: one shingle, all its words. Repeated rows and ids, and null ids: each
-row is its own document; the class id is the smallest id of its class (null only
-if all are). Empty table: no rows. Other columns, of any name, are not read.
+the shingle: one shingle, all its words. Very long texts: whole, as one set. Ids may
+have any type with an order. Repeated rows and ids, and null ids: each row is its
+own document; the class id is the smallest id of its class (null only if all are).
+Empty table: no rows. Other columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -86,8 +95,9 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return out
 
 
-def linked(sigs: np.ndarray, sets: list[np.ndarray], left: range, right: range, threshold: float, keep: dict[int, int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set of ``left``, those of ``right`` (behind it, where they overlap) at or above the threshold."""
+def linked(sigs: np.ndarray, sets: list[np.ndarray], left: range, right: range, threshold: float, keep: dict[int, int], band: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set of ``left``, those of ``right`` (behind it, where they overlap) at or above the threshold; of a ``band`` from 0 up only pairs that agree on none before."""
+    bands = np.array([band_hashes(s)[:band] for s in sigs]) if band > 0 else None
     sizes = np.array([len(s) for s in sets])
     every = np.concatenate(sets)
     ids = np.unique(every, return_inverse=True)[1]
@@ -96,6 +106,8 @@ def linked(sigs: np.ndarray, sets: list[np.ndarray], left: range, right: range,
     for i in left:
         js = np.arange(max(i + 1, right.start), right.stop)
         js = js[np.minimum(sizes[js], sizes[i]) >= threshold * np.maximum(sizes[js], sizes[i])]
+        if bands is not None:
+            js = js[~(bands[js] == bands[i]).any(axis=1)]
         matches = np.zeros(len(js), np.int64)
         for n in range(STEP, BANDS * ROWS + 1, STEP):
             if not len(js):
@@ -120,17 +132,18 @@ TILE = "k long, root long, links long, texts long"
 
 
 def tile_links(rows: list[tuple], threshold: float, keep: dict[int, int]) -> list[tuple[int, int, int, int]]:
-    """Rows (k, n, block, set) of one tile -> (k, root, links, texts): linked documents and sets, and the smallest key reached."""
+    """Rows (k, n, block, set, band, of two blocks?) of one tile -> (k, root, links, texts): linked documents and sets, and the smallest key reached."""
     seen: dict[int, tuple] = {}
-    for k, n, block, data in rows:
+    band, cross = rows[0][4:]
+    for k, n, block, data, *_ in rows:
         seen.setdefault(k, (block, k, n, data))
     order = sorted(seen.values(), key=lambda x: x[:2])
     keys, n = [x[1] for x in order], np.array([x[2] for x in order])
     blocks = [x[0] for x in order]
     sets = [np.frombuffer(x[3], np.uint64) for x in order]
     sigs = np.stack([signature(s) for s in sets])
-    split = blocks.index(blocks[-1])  # where the second block begins, 0 for a tile of one block
-    left, right = (range(split), range(split, len(keys))) if split else (range(len(keys)), range(len(keys)))
+    split = blocks.index(blocks[-1])  # where the second block begins; 0 if only one has sets
+    left, right = (range(split), range(split, len(keys))) if cross else (range(len(keys)), range(len(keys)))
     links, texts, root = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), list(range(len(keys)))
 
     def top(i: int) -> int:
@@ -139,7 +152,7 @@ def tile_links(rows: list[tuple], threshold: float, keep: dict[int, int]) -> lis
             i = root[i]
         return i
 
-    for i, js in linked(sigs, sets, left, right, threshold, keep):
+    for i, js in linked(sigs, sets, left, right, threshold, keep, band):
         links[i] += n[js].sum()
         texts[i] += len(js)
         links[js] += n[i]
@@ -157,13 +170,19 @@ def near_copies(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, toler
     """uid, doc_id, class_id, class_key, n_links, n_text_links, first: a row per row of docs(doc_id, text).
 
     n_links: other documents at or above the threshold, copies too; n_text_links:
-    other shingle sets. uid is row_id(docs), or a number of its own where that is None; first marks the row with the smallest (doc_id, uid) of its class.
+    other shingle sets. uid is row_id(docs), or of a copy of the table where that is None; first marks the row with the smallest (doc_id, uid) of its class.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "jaccard")
     keep = least_matches(threshold, tolerance)
     parts = shuffle_partitions(spark)
 
+    uid = row_id(docs)
+    if uid is None:  # the texts are read twice, and both scans must number them alike
+        docs = tables.save(docs.select("doc_id", "text"), "docs")
+        uid = row_id(docs)
+    docs = docs.select(uid.alias("uid"), "doc_id", "text")
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for b in batches:
@@ -181,21 +200,25 @@ def near_copies(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, toler
                 bands.append(band_hashes(signature(found)))
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["uid", "doc_id", "k", "bands"])
 
-    uid = row_id(docs)
-    d = docs.select((F.monotonically_increasing_id() if uid is None else uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = tables.save(d.mapInArrow(sketch, "uid long, doc_id long, k long, bands array<long>"), "rows")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = tables.save(docs.mapInArrow(sketch, f"uid long, doc_id {id_type}, k long, bands array<long>"), "rows")
 
     # buckets of two or more sets, as stars around their smallest
-    banded = rows.where(F.col("bands").isNotNull()).select("k", F.explode("bands").alias("h"))
-    heads = tables.save(banded.groupBy("h").agg(F.min("k").alias("u"), F.max("k").alias("m")).where("u < m").select("h", "u"), "heads")
-    groups = components(banded.join(heads, "h").select("u", F.col("k").alias("v")), tables, "coarse")
-    sizes = tables.save(groups.groupBy("root").agg(F.count("*").alias("size")), "sizes")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    copies = rows.where(F.col("k").isNotNull()).groupBy("k").agg(F.count("*").alias("n"))
-    groups = tables.save(groups.join(sizes, "root").select(F.col("node").alias("k"), "root", blocks.alias("blocks")).join(copies, "k"), "groups")
-
-    # the shingles of candidate sets: a bit map of fixed size lets the scan pass over nearly all others
-    place = F.pmod("k", F.lit(MAP_BITS))
+    banded = rows.where(F.col("bands").isNotNull()).select("k", F.posexplode("bands").alias("band", "h"))
+    heads = banded.groupBy("band", "h").agg(F.min("k").alias("u"), F.max("k").alias("m"), F.count("*").alias("size")).where("u < m")
+    heads = tables.save(heads.select("band", "h", "u", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "size"), "heads")
+    groups = components(banded.join(heads, ["band", "h"]).select("u", F.col("k").alias("v")), tables, "coarse")
+    groups = tables.save(groups.select(F.col("node").alias("k"), "root"), "nodes")
+    # sets sent: the group's times its blocks, or the same for each of its buckets
+    sizes = groups.groupBy("root").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    by_bucket = heads.join(groups, heads["u"] == groups["k"]).groupBy("root").agg(F.sum(F.col("size") * F.col("blocks")).alias("cost"))
+    sizes = sizes.join(by_bucket, "root").select("root", "blocks", ((F.col("blocks") > 1) & (F.col("cost") < F.col("size") * F.col("blocks"))).alias("split"))
+    sizes = tables.save(sizes, "sizes")
+    copies = rows.where(F.col("k").isNotNull()).groupBy("k").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
+    groups = tables.save(groups.join(sizes, "root").join(copies, "k"), "groups")
+
+    # one text of each candidate set is read again: a bit map of fixed size lets the scan pass over nearly all others
+    place = F.pmod("uid", F.lit(MAP_BITS))
     words = groups.select(F.floor(place / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("b"))
     words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # MAP_BITS / 64 rows at most
     bitmap = spark.sparkContext.broadcast((words["w"].to_numpy(np.int32), words["b"].to_numpy(np.int64)))
@@ -204,30 +227,30 @@ def near_copies(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, toler
         w, bits = bitmap.value
         full = np.zeros(MAP_BITS // 64, np.int64)
         full[w] = bits
-        hashes, seen = WordHashes(), set()
+        hashes = WordHashes()
         for b in batches:
-            keys, sets = [], []
-            for t in b.column("text"):
-                found = shingles(t.as_py(), size, hashes)
-                if not len(found):
-                    continue
-                key = set_key(found)
-                if key in seen:
-                    continue
-                p = key % MAP_BITS
-                if (int(full[p >> 6]) >> (p & 63)) & 1:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(key)
-                    keys.append(key)
+            uids = b.column("uid").to_numpy()
+            at = uids % MAP_BITS
+            kept, sets = [], []
+            for i in np.flatnonzero((full[at >> 6] >> (at & 63)) & 1).tolist():
+                found = shingles(b.column("text")[i].as_py(), size, hashes)
+                if len(found):
+                    kept.append(uids[i])
                     sets.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["k", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(sets, pa.binary())], names=["uid", "data"])
+
+    sets = tables.save(groups.join(docs.select("uid", "text").mapInArrow(payload, "uid long, data binary"), "uid"), "sets")
+    mine = lambda n: F.pmod(F.xxhash64("k", F.lit(3)), n).cast("int")
+
+    def tiles_of(df: DataFrame, name: list, band) -> DataFrame:
+        df = df.select(*name, "k", "n", "data", band.alias("band"), mine(F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        return df.select(F.xxhash64(*name, F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "k", "n", "block", "data", "band", (F.col("block") != F.col("other")).alias("cross"))
 
-    sets = docs.select("text").mapInArrow(payload, "k long, data binary")
-    tiles = groups.join(sets, "k")
-    mine = F.pmod(F.xxhash64("k", F.lit(3)), F.col("blocks")).cast("int")
-    tiles = tiles.select("root", "k", "n", "data", mine.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = tiles.select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "k", "n", "block", "data")
+    tiles = tiles_of(sets.where(~F.col("split")), ["root"], F.lit(-1))
+    split = sets.where("split").drop("blocks", "root")
+    if sizes.where("split").limit(1).count():
+        split = split.join(banded.join(heads.select("band", "h", "blocks"), ["band", "h"]), "k").withColumnRenamed("band", "of")
+        tiles = tiles.unionByName(tiles_of(split, ["of", "h"], F.col("of")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(done):
@@ -237,25 +260,26 @@ def near_copies(docs: DataFrame, *, size: int = 5, threshold: float = 0.8, toler
         tile, held = None, []
         for b in batches:
             done: list[tuple] = []
-            for t, k, n, block, data in zip(*(b.column(x).to_pylist() for x in ("tile", "k", "n", "block", "data")), strict=True):
+            for t, k, n, block, data, band, cross in zip(*(b.column(x).to_pylist() for x in ("tile", "k", "n", "block", "data", "band", "cross")), strict=True):
                 if t != tile:
                     if len(held) > 1:
                         done += tile_links(held, threshold, keep)
                     tile, held = t, []
-                held.append((k, n, block, data))
+                held.append((k, n, block, data, band, cross))
             yield out(done)
         if len(held) > 1:
             yield out(tile_links(held, threshold, keep))
 
     found = tables.save(tiles.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(compare, TILE), "links")
     counts = found.groupBy("k").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
+    copies = copies.drop("uid")
     roots = components(found.where("k <> root").select(F.col("k").alias("u"), F.col("root").alias("v")), tables, "classes")
     keys = tables.save(copies.join(roots.withColumnRenamed("node", "k"), "k", "left").join(counts, "k", "left").select("k", F.coalesce("root", "k").alias("class_key"), "n", "links", "texts"), "keys")
     out = rows.select("uid", "doc_id", "k").join(keys, "k", "left")
     best = out.where(F.col("k").isNotNull()).groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best"))
     best = tables.save(best.select("class_key", F.col("best.doc_id").alias("b_id"), F.col("best.uid").alias("b_uid")), "best")
     members = tables.save(out, "members")
-    tables.drop("rows", "heads", "sizes", "groups", "links", "keys", *tables.kept("coarse-", "classes-"))
+    tables.drop("rows", "heads", "nodes", "sizes", "groups", "sets", "links", "keys", *tables.kept("coarse-", "classes-"))
     out = members.join(best, "class_key", "left")
     return out.select(
         "uid", "doc_id", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("b_id")).alias("class_id"), "class_key",
