@@ -16,9 +16,12 @@ minimizers that occur twice send segments at all.
    a common passage then go with a rare gram; those wholly inside it are equal
    between documents, so their segments collapse. What is still too common without
    being made of common grams only is dealt by the whole window.
-3. Segments of candidate runs, collapsed per task, go to their shard; there the
-   operator's own structure (suffix automaton or suffix array) decides exactly.
-4. The removed ranges come back by text key and are cut out of the text.
+3. Segments of candidate runs, collapsed per task, go to their shard with the number
+   of their places; there the operator's own structure (suffix automaton or suffix
+   array) decides exactly. A shard of very many different segments is dealt again
+   first, by whole windows.
+4. What a shard found meets the segments' places in a join of two tables, which is
+   split where a segment is hot; the ranges go by text key and are cut out.
 
 Text keys are 64 bits that hash the SHA-256 of the text.
 """
@@ -37,6 +40,8 @@ from .common import Tables, rolled, shuffle_partitions, sliding_min
 HOT = 2000
 #: No segment has more windows than this.
 LONGEST = 2048
+#: Bytes of different segments in a shard, beyond which its windows are dealt one by one.
+LARGEST = 16_000_000
 
 RUNS = "mini long, k long, s int, n int, weight int"
 
@@ -213,19 +218,19 @@ class Repeats:
             out = out.unionByName(x)
         return out.groupBy("k").agg(F.collect_list(F.struct("s", "n", "shard")).alias("ranges"))
 
-    def removed(self, texts: DataFrame, tables: Tables) -> DataFrame:
-        """(k, cuts: array of (a, b)): the units of each text that repeated windows cover."""
-        w, split, packed, decide, batch = self.window, self.split, self.packed, self.decide, self.batch
-        occ = pa.list_(pa.struct([("k", pa.int64()), ("s", pa.int32())]))
-        kind = "shard long, data binary, occ array<struct<k:long,s:int>>"
+    def segments(self, texts: DataFrame, candidates: DataFrame) -> DataFrame:
+        """(shard, seg, data, n, occ): the segments of the candidate runs, equal ones collapsed per task; n are their windows, occ the places (k, s)."""
+        w, split, packed = self.window, self.split, self.packed
+        places = pa.list_(pa.struct([("k", pa.int64()), ("s", pa.int32())]))
 
-        def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[tuple[int, bytes], list] = {}
             size = 0
 
             def out():
-                keys = list(held)
-                return pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.binary()), pa.array(list(held.values()), occ)], names=["shard", "data", "occ"])
+                keys, at = list(held), list(held.values())
+                cols = [pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.binary()), pa.array([x[0] for x in at], pa.int32()), pa.array([x[1:] for x in at], places)]
+                return pa.RecordBatch.from_arrays(cols, names=["shard", "data", "n", "occ"])
 
             for b in batches:
                 for key, t, ranges in zip(b.column("k").to_pylist(), b.column("text"), b.column("ranges").to_pylist(), strict=True):
@@ -234,7 +239,7 @@ class Repeats:
                         data = packed(units, r["s"], r["s"] + r["n"] + w - 1)
                         at = held.get((r["shard"], data))
                         if at is None:
-                            held[r["shard"], data] = at = []
+                            held[r["shard"], data] = at = [r["n"]]
                             size += len(data) + 200
                         at.append({"k": key, "s": r["s"]})
                         size += 100
@@ -245,37 +250,58 @@ class Repeats:
             if held:
                 yield out()
 
+        wanted = texts.select("k", "text").join(candidates, "k")
+        return wanted.mapInArrow(rows, "shard long, data binary, n int, occ array<struct<k:long,s:int>>").withColumn("seg", F.xxhash64("data"))
+
+    def dealt(self, texts: DataFrame, tables: Tables) -> DataFrame:
+        """The segments of all candidates; a shard of more than ``LARGEST`` bytes of different segments is dealt again by whole windows."""
+        found = tables.save(self.segments(texts, self.candidates(texts, tables)), "segments")
+        sizes = found.groupBy("shard", "seg").agg(F.max(F.length("data")).alias("m")).groupBy("shard").agg(F.sum("m").alias("m"))
+        large = tables.save(sizes.where(F.col("m") > LARGEST).select("shard"), "large")
+        if not large.limit(1).count():
+            return found
+        back = found.join(large, "shard", "left_semi").select("n", F.explode("occ").alias("o")).groupBy("o.k").agg(F.collect_list(F.struct("o.s", "n")).alias("ranges"))
+        runs = tables.save(self.runs(texts.select("k", "text").join(back, "k"), self.window), "runs3")
+        counts = tables.save(runs.groupBy("mini").agg(F.sum("weight").alias("c")).where("c > 1"), "counts3")
+        again = runs.join(counts, "mini").groupBy("k").agg(F.collect_list(F.struct("s", "n", F.xxhash64("mini", F.lit(3)).alias("shard"))).alias("ranges"))
+        again = tables.save(self.segments(texts, again), "segments3")
+        return found.join(large, "shard", "left_anti").unionByName(again)
+
+    def removed(self, texts: DataFrame, tables: Tables) -> DataFrame:
+        """(k, cuts: array of (a, b)): the units of each text that repeated windows cover."""
+        w, decide, batch = self.window, self.decide, self.batch
+
         def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def out(groups: dict):
-                rows: list[tuple[int, int, int]] = []
-                whole = [x for g in groups.values() for x in g.items()]
-                for (_, at), flags in zip(whole, decide([(data, len(at)) for data, at in whole]), strict=True):
-                    for a, b in ranges_of(flags, w):
-                        rows += [(x["k"], x["s"] + a, x["s"] + b) for x in at]
-                cols = list(zip(*rows, strict=True)) or [[], [], []]
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["k", "a", "b"])
+                whole = [(shard, data, x) for shard, g in groups.items() for data, x in g.items()]
+                rows: list[tuple] = []
+                for (shard, _, (seg, _)), flags in zip(whole, decide([(data, times) for _, data, (_, times) in whole]), strict=True):
+                    rows += [(shard, seg, a, b) for a, b in ranges_of(flags, w)]
+                cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["shard", "seg", "a", "b"])
 
             groups: dict[int, dict[bytes, list]] = {}
             size = 0
             for b in batches:
-                for shard, data, at in zip(b.column("shard").to_pylist(), b.column("data").to_pylist(), b.column("occ").to_pylist(), strict=True):
+                for shard, seg, data, times in zip(*(b.column(x).to_pylist() for x in ("shard", "seg", "data", "times")), strict=True):
                     if shard not in groups and size > batch:  # rows come sorted by shard, so all in hand are whole
                         yield out(groups)
                         groups, size = {}, 0
                     g = groups.setdefault(shard, {})
                     if data in g:
-                        g[data] += at
+                        g[data][1] += times
                     else:
-                        g[data] = at
+                        g[data] = [seg, times]
                         size += len(data)
             if groups:
                 yield out(groups)
 
-        wanted = texts.select("k", "text").join(self.candidates(texts, tables), "k")
-        parts = shuffle_partitions(texts.sparkSession)
-        sent = wanted.mapInArrow(segments, kind).repartition(parts, "shard").sortWithinPartitions("shard")
-        cuts = tables.save(sent.mapInArrow(shards, "k long, a int, b int"), "cuts")
-        return cuts.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
+        # a shard gets each different segment once a task at most, and only their number: the places stay, and what was found goes to them by a join
+        found = self.dealt(texts, tables)
+        sent = found.select("shard", "seg", "data", F.size("occ").alias("times")).repartition(shuffle_partitions(texts.sparkSession), "shard").sortWithinPartitions("shard")
+        flags = tables.save(sent.mapInArrow(shards, "shard long, seg long, a int, b int"), "flags")
+        cuts = found.select("shard", "seg", F.explode("occ").alias("o")).join(flags, ["shard", "seg"])
+        return cuts.groupBy("o.k").agg(F.collect_list(F.struct((F.col("o.s") + F.col("a")).alias("a"), (F.col("o.s") + F.col("b")).alias("b"))).alias("cuts"))
 
     def cut(self, docs: DataFrame, tables: Tables, keep: Callable, kind: str) -> DataFrame:
         """(k, ...): keep(units, ranges) of each different text, where ranges are the maximal removed ones; ``kind`` names and types its values."""
@@ -296,7 +322,7 @@ class Repeats:
                 yield pa.RecordBatch.from_arrays([b.column("k"), *(pa.array(x, y) for x, y in zip(cols, types, strict=True))], names=["k", *names])
 
         kept = tables.save(texts.join(cuts, "k", "left").mapInArrow(rows, f"k long, {kind}"), "kept")
-        tables.drop("texts", "cuts", "found0", "found1", "found2")
+        tables.drop("texts", *tables.kept("found", "segments", "large", "flags", "runs3", "counts3"))
         return kept
 
     def joined(self, docs: DataFrame, kept: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ WINDOW = 400
 
 
 def suffix_array(x: np.ndarray) -> np.ndarray:
-    """Suffix array of an array of integers from 1 up, below 2**20 values and symbols."""
+    """Suffix array of an array of integers from 1 up; fewer than 2**30 values, symbols below 2**30."""
     n = len(x)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: x[i:].tolist()), np.int64)
@@ -36,7 +36,11 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
     one = np.arange(1, n + (n % 3 == 1), 3)
     two = np.arange(2, n, 3)
     sample = np.concatenate([one, two])
-    triple = (p[sample] * top + p[sample + 1]) * top + p[sample + 2]
+    # of three values in one number the first two are named before, where all three would not fit
+    pair = p[:-1] * top + p[1:]
+    if top >= 1 << 20:
+        pair = np.unique(pair, return_inverse=True)[1]
+    triple = pair[sample] * top + p[sample + 2]
     names, name = np.unique(triple, return_inverse=True)
     if len(names) < len(sample):
         order = suffix_array(name + 1)
@@ -53,7 +57,9 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
     rest = rest[np.argsort(rest_key, kind="stable")]
     # where the rest goes among the sampled: two sorted lists to search, one for each class of the cover
     key1 = lambda i: p[i] * m + rank[i + 1]
-    key2 = lambda i: (p[i] * top + p[i + 1]) * m + rank[i + 2]
+    if top < 1 << 20 and top * top * m >= 1 << 62:
+        pair = np.unique(pair, return_inverse=True)[1]
+    key2 = lambda i: pair[i] * m + rank[i + 2]
     mod = sampled % 3
     first, second = sampled[mod == 1], sampled[mod == 2]
     r1, r2 = key1(rest), key2(rest)
