@@ -151,5 +151,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules}
-ORACLE = {"op6_quality_rules": _sql()}
+def quality_ablations(spark, sf_dir):
+    """What each rule of the policy rejects, and what only it rejects, from the ledger's bits."""
+    return ablations(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+
+
+def _ablation_sql() -> str:
+    bits = ", ".join(f"('{name}', {bit})" for name, bit in BIT.items())
+    return f"WITH l AS ({_sql()}), r(rule, bit) AS (VALUES {bits}) SELECT rule, count(*) FILTER (WHERE failed & bit <> 0) AS fails, count(*) FILTER (WHERE failed = bit) AS only_this FROM l, r GROUP BY rule"
+
+
+QUERIES = {"op6_quality_rules": op6_quality_rules, "quality_ablations": quality_ablations}
+ORACLE = {"op6_quality_rules": _sql(), "quality_ablations": _ablation_sql()}
