@@ -104,6 +104,32 @@ def test_url_filter_false_positives_are_removed(spark, monkeypatch):
     assert all(v == ("block" if i % 2 == 0 else "allow") for i, v in got.items()) and len(got) == 200
 
 
+def test_listed_urls(spark):
+    """A list blocks what no rule fits, whatever the scheme, query, leading www. and closing slash; a rule goes before it."""
+    long = "http://long.net/" + "p" * 50_000
+    urls = ["http://WWW.a.net/x/", "https://a.net/x?y#z", "http://m.a.net/x", "http://a.net/xx", "http://b.a.net/x", "http://ok.org/y", long, "", None, "none"]
+    listed = spark.createDataFrame([("a.net/x",), ("ok.org/y",), (None,), ("a.net/x",), (long[7:],)], "url string")
+    rules = spark.createDataFrame(url_filter.RULES, "verdict string, rule string")
+    df = spark.createDataFrame([(f"p{i}", u, "clash", "c") for i, u in enumerate(urls)], "page_id string, url string, verdict string, listed string")
+    got = {r["__row"].page_id: (r.listed, r.verdict) for r in url_filter.judged_urls(df, rules, listed).collect()}
+    yes, no = (True, "block"), (False, "allow")
+    assert [got[f"p{i}"] for i in range(len(urls))] == [yes, yes, yes, no, no, (True, "allow"), yes, no, no, no]
+    none = spark.createDataFrame([], "verdict string, rule string")
+    assert {r.verdict for r in url_filter.judged_urls(df, none).collect()} == {"allow"}
+
+
+def test_hot_url(spark):
+    df = spark.createDataFrame([(i, "http://x.example.org/es/1" if i % 3 else None) for i in range(3000)], "page_id long, url string")
+    got = url_filter.judged_urls(df, spark.createDataFrame(url_filter.RULES, "verdict string, rule string")).groupBy("verdict").count().collect()
+    assert {r.verdict: r["count"] for r in got} == {"block": 2000, "allow": 1000}
+
+
+def test_rules_on_long_and_repeated_texts(spark):
+    rows = [(1, "word " * 300_000), (1, "word " * 300_000), (2, "\n" * 5000), (2, "x" * 400_000)]
+    got = sorted((r.doc_id, r.n_words, r.n_repeat_words, r.base_failed) for r in quality_rules.with_policy(quality_rules.ledger(spark.createDataFrame(rows, "doc_id long, text string"))).select("__row.doc_id", "n_words", "n_repeat_words", "base_failed").collect())
+    assert got == [(1, 300_000, 300_000, True), (1, 300_000, 300_000, True), (2, 0, 0, True), (2, 1, 0, True)]
+
+
 PAGES = "page_id long, url string, html string"
 
 
@@ -137,3 +163,18 @@ def test_warc_repeated_rows_and_threshold(spark):
     assert sorted(r.record_type for r in same) == ["response", "revisit", "revisit"]
     assert {r.record_type for r in round_trip(spark, [(1, "u", "abc"), (2, "u", "abc")], min_payload=4)} == {"response"}
     assert round_trip(spark, []) == []
+
+
+def test_warc_other_ids_and_clashing_columns(spark):
+    rows = [("a b\r\n", "u", "same", "s", "d"), ("ü", "u", "same", "s", "d"), (None, "u", "other", None, None)]
+    t = Tables(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame(rows, "page_id string, url string, html string, sha string, uid string"), t.path("archives"), tables=t)
+    got = {(r.page_id, r.refers_to, r.html) for r in warc.read_archives(spark, t.path("archives"), id_type="string").collect()}
+    assert got == {("a b\r\n", None, "same"), ("ü", "a b\r\n", None), (None, None, "other")}
+
+
+def test_warc_bit_maps_only_let_rows_through(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MAP_BITS", 64)
+    rows = [(i, f"u{i}", f"page {i % 150}") for i in range(200)]
+    got = {r.page_id: r for r in round_trip(spark, rows)}
+    assert len(got) == 200 and all((got[i].refers_to, got[i].html) == ((i - 150, None) if i >= 150 else (None, f"page {i}")) for i in got)

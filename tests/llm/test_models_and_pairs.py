@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from seriesmill.llm import classifier, components, decontamination, jaccard_join, lm_scoring
-from seriesmill.llm.common import Tables, WordHashes
+from seriesmill.llm.common import Tables, WordHashes, word_hash
 
 DOCS = "doc_id long, text string"
 VOCAB = [f"w{i}" for i in range(400)]
@@ -69,6 +69,18 @@ def test_near_copies_edges(spark):
     assert jaccard_join.near_copies(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 5, 512])
+def test_near_copies_in_chains(spark, monkeypatch, block):
+    """Texts that overlap with the next ones only: one coarse group, many small buckets, compared bucket by bucket."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    words = prose(rng, 600)
+    texts = [" ".join(words[i * 12 : i * 12 + 150]) for i in range(37)] * 2
+    df = spark.createDataFrame([(f"d{i:03}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_copies(df).collect()}
+    assert got == {f"d{i:03}": (f"d{c:03}", n) for i, (c, n) in enumerate(brute_links(texts))}
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     keep = jaccard_join.least_matches(0.8, 1e-7)
     rng = np.random.default_rng(0)
@@ -115,63 +127,85 @@ def test_lm_against_plain_counts(spark):
     assert lm_scoring.score_documents(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_lm_is_a_probability(spark):
-    """Over all next words of a history, and the unknown one, the model adds up to no more than one."""
-    rng = np.random.default_rng(2)
-    small = VOCAB[:30]
-    docs = spark.createDataFrame([(" ".join(rng.choice(small, 40)),) for _ in range(50)], "text string")
-    m, _, texts = lm_scoring.train(docs, Tables(spark, "lm-test"))
-    hashes = WordHashes()
-    words = [w.encode() for w in small] + [lm_scoring.END, b"unknown"]
-    for before in words[:5]:
+def plain_scores(rows, weight=0.3):
+    """The interpolated model with quantised counts, from exact ones; rows are (training?, tokens)."""
+    one = collections.Counter(w for train, t in rows if train for w in t)
+    two = collections.Counter(x for train, t in rows if train for x in zip([None, *t], t, strict=False))
+    n, v, texts = sum(one.values()), len(one), sum(train for train, _ in rows)
+    level = lambda c: 0 if not c else 1 + math.floor(math.log(c) / math.log(lm_scoring.RATIO) + 1e-9)
+    least = lambda c: math.ceil(lm_scoring.RATIO ** (level(c) - 1) - 1e-9) if c else 0
+    out = []
+    for _, t in rows:
         total = 0.0
-        for w in words:
-            h = hashes.of([before, w])
-            place = np.array([m.head.get(x, -1) for x in (before, w)])
-            total += 10 ** m.score(h, place, np.array([True, False]), texts)[1]
-        assert 0.3 < total <= 1.001
+        for before, w in zip([None, *t], t, strict=False):
+            history = texts if before is None else lm_scoring.RATIO ** level(one[before]) if one[before] else 0
+            share = min(1.0, least(two[before, w]) / max(1.0, history))
+            total += math.log10(weight * share + (1 - weight) * (least(one[w]) + 0.5) / (n + 0.5 * (v + 1)))
+        out.append(total)
+    return out
 
 
-def test_lm_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
-    """A filter larger than filter_mb keeps every n-gram and gives the same scores."""
-    monkeypatch.setattr(lm_scoring, "HEAD", 50)  # most words are read from the filter
+@pytest.mark.parametrize("filter_mb", [64, 0])
+def test_lm_scores_against_a_plain_model(spark, monkeypatch, filter_mb):
+    """Broadcast or in shards: with so many bits that nothing is found that was not put in, the scores are those of exact lookups."""
+    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", 500)
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 900)
     rng = np.random.default_rng(12)
-    rows = [(i, " ".join(prose(rng, int(n)))) for i, n in enumerate(rng.integers(0, 80, 150))] + [(900, None), (900, ""), (None, "w1 w2 w3"), (901, "w1 w2 " * 3000)]
-    docs = spark.createDataFrame(rows, DOCS)
-    one, other = (sorted(map(tuple, lm_scoring.score_documents(docs, filter_mb=mb).collect()), key=str) for mb in (64, 0))
-    assert one == other and len(one) == len(rows)
+    rows = [(f"id{i}", " ".join(prose(rng, int(n)))) for i, n in enumerate(rng.integers(0, 80, 150))] + [("x", None), ("y", ""), (None, "w1 w2 w3"), ("z", "w1 w2 " * 3000), ("z", "w1 w2 " * 3000)]
+    held = lambda i: zlib.crc32(("" if i is None else i).encode()) % 5 == 1
+    got = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id string, text string"), filter_mb=filter_mb, per_insert=80).collect()
+    want = plain_scores([(not held(i), lm_scoring.tokens(t)) for i, t in rows])
+    have = sorted((str(r.doc_id), round(r.score, 6)) for r in got)
+    assert have == sorted((str(i), round(x, 6)) for (i, _), x in zip(rows, want, strict=True))
+
+
+def test_lm_ten_bits_are_close(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, " ".join(prose(rng, 60))) for i in range(120)]
+    one, other = ({r.doc_id: r.score for r in lm_scoring.score_documents(spark.createDataFrame(rows, DOCS), per_insert=n).collect()} for n in (10, 80))
+    assert np.mean([abs(one[i] - other[i]) / abs(other[i]) for i in one]) < 0.01
     few = spark.createDataFrame([(0, "a"), (1, "b c d e f g h")], DOCS)  # shards without any n-gram of the training texts
     assert all(r.score < 0 for r in lm_scoring.score_documents(few, filter_mb=0).collect())
 
 
-def test_lm_keeps_bigrams_seen_once(spark):
-    """Words of equal counts, of which two met once in training: together they score above what never met."""
-    docs = spark.createDataFrame([("aa bb cc dd ee ff gg hh",)], "text string")
-    m, _, texts = lm_scoring.train(docs, Tables(spark, "lm-once"))
-    hashes = WordHashes()
-
-    def last(*words):
-        words = [w.encode() for w in words]
-        place = np.array([m.head.get(x, -1) for x in words])
-        return m.score(hashes.of(words), place, np.array([True, False]), texts)[1]
-
-    met = [last(x, y) for x, y in (("aa", "bb"), ("cc", "dd"), ("ee", "ff"))]
-    never = [last(x, y) for x, y in (("aa", "dd"), ("cc", "ff"), ("ee", "bb"))]
-    assert min(met) > max(never) + 0.3
+def test_lm_is_a_probability():
+    """Over all next words of a history, and the unknown one, the model adds up to no more than one."""
+    rng = np.random.default_rng(2)
+    small = [w.encode() for w in VOCAB[:30]]
+    texts = [[*rng.choice(small, 40), lm_scoring.END] for _ in range(50)]
+
+    def part(tokens):
+        words = list(dict.fromkeys(w for t in tokens for w in t))
+        hashes = np.array([word_hash(w) for w in words], np.uint64)
+        number = np.array([words.index(w) for t in tokens for w in t])
+        sizes = np.array([len(t) for t in tokens])
+        values = (np.arange(len(tokens)).tobytes(), lm_scoring.packed(sizes, int(sizes.max())), np.ones(len(tokens), bool).tobytes(), lm_scoring.packed(number, len(words)), hashes.tobytes())
+        return lm_scoring.Chunk(dict(zip(lm_scoring.PART, values, strict=True)))
+
+    c = part(texts)
+    data = lm_scoring.filled(c.keys, lm_scoring.levels(c.counts()), 10)
+    f = lm_scoring.Filter(data, np.array([len(data)]))
+    n, v = sum(map(len, texts)), len(set(w for t in texts for w in t))
+    for before in small[:5]:
+        total = 0.0
+        for w in [*small, lm_scoring.END, b"unknown"]:
+            two, one = part([[before, w]]), part([[before]])
+            total += 10 ** float(two.scores(f.level_of(two.keys), n, v, 50, 0.3)[0] - one.scores(f.level_of(one.keys), n, v, 50, 0.3)[0])
+        assert 0.3 < total <= 1.001
 
 
-def test_filter_reads_back_levels():
+def test_filter_reads_back_levels_and_stops_when_full():
     rng = np.random.default_rng(1)
-    keys, q = rng.integers(0, 2**63, 3000).astype(np.uint64), rng.integers(1, 9, 3000)
-    bits, shards = 40_000, 4
-    data = np.zeros(shards * bits, bool)
-    for level in range(1, 9):
-        k = keys[q >= level]
-        for p in lm_scoring.positions(k, level, bits):
-            data[(k % np.uint64(shards)).astype(np.int64) * bits + p] = True
-    f = lm_scoring.Filter(np.packbits(data, bitorder="little"), shards, bits)
+    keys, q = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)) * np.uint64(2), rng.integers(1, 9, 3000)
+    q = q[: len(keys)]
+    at = np.searchsorted(lm_scoring.shard_of(keys, 4), np.arange(5))
+    pieces = [lm_scoring.filled(keys[i:j], q[i:j], 12) for i, j in zip(at, at[1:], strict=False)]
+    f = lm_scoring.Filter(np.concatenate(pieces), np.array([len(p) for p in pieces]))
     assert (f.level_of(keys) >= q).all() and (f.level_of(keys) == q).mean() > 0.9
-    assert (f.level_of(rng.integers(2**63, 2**64 - 1, 3000, dtype=np.uint64)) == 0).mean() > 0.9
+    assert (f.level_of(keys + np.uint64(1)) == 0).mean() > 0.9
+    full = lm_scoring.Filter(np.full(1000, 255, np.uint8), np.array([1000]))
+    assert set(full.level_of(keys).tolist()) == {lm_scoring.MOST}
+    assert lm_scoring.Filter(np.empty(0, np.uint8), np.zeros(3, np.int64)).level_of(keys).max() == 0
 
 
 def labelled_docs(n=600, seed=4):
@@ -197,7 +231,7 @@ LAB = "doc_id long, quality int, toxic int"
 def test_classifier_on_held_out_rows(spark):
     docs, labels = labelled_docs()
     d = spark.createDataFrame(docs, CLS)
-    models = classifier.fit_classifier(d, spark.createDataFrame(labels[:400], LAB))
+    models = classifier.fit_classifier(d, spark.createDataFrame(labels[:400], LAB), exchange=20)
     got = {r["__row"].doc_id: r for r in classifier.classify(d, models).collect()}
     rest = labels[400:]
     assert np.mean([(got[i].quality_score >= 0.5) == q for i, q, _ in rest]) > 0.95
@@ -218,6 +252,29 @@ def test_classifier_edges(spark):
     assert classifier.classify(empty, classifier.fit_classifier(empty, lab)).count() == 0
 
 
+def test_classifier_scores_and_surest_against_single_rows(spark):
+    """Whole batches score as single rows do, and the rows handed over are the surest of all, copies once."""
+    docs, _ = labelled_docs(80)
+    docs = [(i, t, x, s) for i, t, x, s, _ in docs]
+    docs += [(100 + i, *docs[3][1:]) for i in range(30)] + [(200, None, None, None), (201, "w1 " * 5000, "en", "s1")]
+    rng = np.random.default_rng(0)
+    views = {"text": (rng.normal(0, 3, (1 << classifier.BITS, 2)).astype(np.float32), np.array([0.1, -0.2])), "meta": (rng.normal(0, 3, (1 << classifier.META_BITS, 2)).astype(np.float32), np.zeros(2))}
+    text = [classifier.text_row(classifier.text_features(t or "")) for _, t, _, _ in docs]
+    meta = [classifier.meta_row(classifier.meta_features(t or "", x, s).tobytes()) for _, t, x, s in docs]
+    want = {v: np.array([values @ views[v][0][ids] + views[v][1] for ids, values in rows]) for v, rows in (("text", text), ("meta", meta))}
+    scorer = classifier.Scorer(views)
+    texts = [t or "" for _, t, _, _ in docs]
+    assert np.allclose(scorer.text(texts), want["text"]) and np.allclose(scorer.meta(classifier.metadata(texts, *zip(*[d[2:] for d in docs], strict=True))), want["meta"], atol=1e-4)
+    pool = spark.createDataFrame(docs, "place long, text string, lang string, source string").repartition(5)
+    got = classifier.surest(pool, views, 4).collect()
+    for t in (0, 1):
+        for v, view in enumerate(classifier.VIEWS):
+            for label in (0, 1):
+                sure = {d[1:]: s for d, s in zip(docs, want[view][:, t] * (1 if label else -1), strict=True) if s > classifier.SURE}
+                have = [r.score for r in got if (r.target, r.view, r.label) == (t, v, label)]
+                assert np.allclose(have, sorted(sure.values(), reverse=True)[:4], atol=1e-3)
+
+
 def fold(t):
     return (t or "").lower().translate(str.maketrans("", "", decontamination.PUNCTUATION)).split()
 
@@ -288,11 +345,15 @@ def test_decontamination_finds_all_at_the_threshold(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(400)} and all(r.similarity == pytest.approx(0.8) for r in got)
 
 
-def test_flips_cover_the_radius():
-    rng = np.random.default_rng(0)
-    masks = set(decontamination.flips(decontamination.RADIUS // decontamination.BLOCKS))
-    for _ in range(300):
-        x = 0
-        for b in rng.choice(64, decontamination.RADIUS, replace=False):
-            x |= 1 << int(b)
-        assert any((x >> 16 * b) & 0xFFFF in masks for b in range(decontamination.BLOCKS))
+def test_decontamination_finds_what_is_moved_about(spark):
+    """Halves of an item that changed places share most shingles with it, but no shared shingle tells where the window begins."""
+    rng = np.random.default_rng(22)
+    items = [(i, " ".join(f"y{w}" for w in rng.integers(0, 10**9, 120))) for i in range(8)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        docs += [(10 * i, " ".join(["one", "two", *w[60:], *w[:60], "three"])), (10 * i + 1, " ".join(w[:50] + ["in", "between"] + w[50:])), (10 * i + 2, " ".join(w * 2)), (10 * i + 3, " ".join(w[:90]))]
+    docs.append((99, "z " * 2000 + items[0][1] + " z" * 2000))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_matches(docs, items)
+    assert set(got) == set(want) and len(want) == 3 * 8 + 1 and all(got[k] == pytest.approx(want[k]) for k in got)

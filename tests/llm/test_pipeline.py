@@ -70,3 +70,14 @@ def test_stages_on_odd_tables(spark, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             assert out.columns == docs.columns, name
             out.count()
+
+
+def test_stages_with_ids_that_are_no_numbers(spark, tmp_path):
+    rows, item = corpus()
+    rows = [(f"doc {i}", *r) for i, *r in rows] + [(None, *rows[3][1:])]
+    spark.createDataFrame([("item", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, KIND.replace("doc_id long", "doc_id string"))
+    for i, (name, stage) in enumerate(pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"stage{i}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{i}"))
+        assert docs.schema["doc_id"].dataType.simpleString() == "string" and docs.count() > 0, name

@@ -69,9 +69,10 @@ def corpus(seed=1):
     return texts
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_words(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "largest"), [(2000, 16_000_000), (3, 16_000_000), (2000, 300), (3, 10)])
+def test_words(spark, monkeypatch, hot, largest):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "LARGEST", largest)
     texts = corpus()
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, k string")
     got = {r.doc_id: r for r in substring_dedup.report(df).collect()}
@@ -81,9 +82,10 @@ def test_words(spark, monkeypatch, hot):
         assert got[i].kept_sha256 == hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_bytes(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "largest"), [(2000, 16_000_000), (3, 16_000_000), (2000, 300), (3, 10)])
+def test_bytes(spark, monkeypatch, hot, largest):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "LARGEST", largest)
     texts = corpus(2)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r for r in suffix_dedup.report(df, 100).collect()}
@@ -101,6 +103,17 @@ def test_remove_keeps_columns_and_untouched_texts(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: ("a b", 3), 2: ("c", 1), 3: ("un  touched", 11), None: (None, None)}
 
 
+def test_suffix_array_of_many_symbols():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(1, 2**29, 500), [2**29] * 40, rng.integers(1, 5, 300) + 2**28])
+    assert suffix_dedup.suffix_array(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "é" * 250, "k", 1) for i in range(3)], "doc_id long, text string, k string, n_bytes int")
+    assert [(r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.report(df).collect()] == [(500, 500, 1)] * 3
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.report(none).count() == 0 and suffix_dedup.report(none).count() == 0
