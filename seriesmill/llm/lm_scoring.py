@@ -254,7 +254,8 @@ def asks_of(parts: DataFrame, shards: int) -> DataFrame:
                 cols = ([s for s, _, _ in at], [chunk] * len(at), [low[i:j].tobytes() for _, i, j in at], [packed(counts[i:j], int(counts[i:j].max())) for _, i, j in at])
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "chunk", "keys", "counts"])
 
-    return parts.mapInArrow(ask, ASKS).repartition(shards, "shard").sortWithinPartitions("shard")
+    # one shard to a task: by hash some tasks would get several
+    return parts.mapInArrow(ask, ASKS).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
 
 
 ANSWERS = "shard long, chunk long, data binary"
