@@ -49,7 +49,12 @@ SURE = 2.2
 def word_features(word: str) -> tuple[int, ...]:
     """Feature ids of a word: itself, its first five and its last three characters, case folded but for the last."""
     low = word.lower().strip(".,;:?\"'()")
-    return tuple(zlib.crc32(x.encode()) >> (32 - BITS) for x in ("w" + low, "p" + low[:5], "s" + word[-3:]))
+    return crc32(low.encode(), WHOLE) >> SHIFT, crc32(low[:5].encode(), PREFIX) >> SHIFT, crc32(word[-3:].encode(), SUFFIX) >> SHIFT
+
+
+crc32, SHIFT = zlib.crc32, 32 - BITS
+#: Checksums that begin with the kind of the feature.
+WHOLE, PREFIX, SUFFIX = crc32(b"w"), crc32(b"p"), crc32(b"s")
 
 
 class Ids(dict):
@@ -166,11 +171,24 @@ def log_odds(model: dict, text_score, meta_score) -> tuple:
     return t, m, model["mix"][0] * t + model["mix"][1] * m + model["mix"][2]
 
 
+class Numbers(dict):
+    """Numbers of the words asked for, in order; ``fresh`` are those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Scorer:
     """Raw scores of whole batches of texts under both views, a column for each target."""
 
     def __init__(self, views: dict):
-        self.views, self.words, self.values = views, {}, np.zeros((0, len(TARGETS)))
+        self.views, self.words, self.values = views, Numbers(), np.zeros((0, len(TARGETS)))
 
     def text(self, texts: list[str]) -> np.ndarray:
         out, at = np.zeros((len(texts), len(TARGETS))), 0
@@ -188,14 +206,13 @@ class Scorer:
     def _some(self, flat: list[str], sizes: np.ndarray) -> np.ndarray:
         w, b = self.views["text"]
         if len(self.words) > 400_000:
-            self.words, self.values = {}, np.zeros((0, len(TARGETS)))
-        known = self.words
-        fresh = [x for x in dict.fromkeys(flat) if x not in known]
-        if fresh:
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-            ids = np.array([word_features(x) for x in fresh])
+            self.words, self.values = Numbers(), np.zeros((0, len(TARGETS)))
+        at = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        if fresh := self.words.fresh:
+            ids = np.fromiter((i for x in fresh for i in word_features(x)), np.int64, 3 * len(fresh)).reshape(-1, 3)
             self.values = np.concatenate([self.values, w[ids].sum(axis=1, dtype=float)])
-        each = self.values[np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))]
+            fresh.clear()
+        each = self.values[at]
         doc = np.repeat(np.arange(len(sizes)), sizes)
         sums = np.column_stack([np.bincount(doc, each[:, t], len(sizes)) for t in range(len(TARGETS))])
         return sums / np.sqrt(np.maximum(1, 3 * sizes))[:, None] + b
