@@ -14,12 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lending import lend_blocks
 from ..functions.stl import stl_fitted
 from ..functions.timeaxis import epoch_seconds
 from .features import cleaned, ordered
 
 STRATEGIES = ("error", "zero", "locf", "nocb", "linear", "rolling_mean", "stl", "borrow", "custom")
 
+#: Weighted borrowing: values of a block of series, and values that a series counts for besides its own.
+BLOCK, SERIES_COSTS = 250_000, 30
+
 
 def gap_runs(df: DataFrame, column: str, date: str, groups: Sequence[str] = ()) -> DataFrame:
     """(groups, run, first, length) of each run of nulls: a gap is an island of equal differences of row numbers."""
@@ -88,15 +92,17 @@ def borrow(df: DataFrame, column: str, date: str, groups: Sequence[str], *, meth
     A missing cell's own series has nothing to lend at its date, so mean and median
     are one aggregation by date, unless each series has lenders of its own.
     ``weighted`` weighs a peer by one over its mean absolute distance to the series
-    on shared dates (no shared date: ten times the largest distance); that takes, for
-    each date, every value of a series with missing cells against every value of the
-    others, which grows with the square of the series. neighbors: the lenders' names
-    (first group column), or for each series its lenders.
+    on shared dates (no shared date: ten times the largest distance); that compares
+    every series with missing cells with every other, block against block, which grows
+    with the square of the series. neighbors: the lenders' names (first group column),
+    or for each series its lenders, which alone are then compared.
     """
     if not groups:
         raise ValueError("borrow needs groups")
     if method not in ("median", "mean", "weighted"):
         raise ValueError(f"unknown method {method!r}")
+    if method == "weighted" and not isinstance(neighbors, Mapping):
+        return _borrow_weighted(df, column, date, groups, neighbors)
     keys, peers = [f"g_{c}" for c in groups], [f"p_{c}" for c in groups]
     y = F.col(column).cast("double")
     cells = df.where(F.col(column).isNull()).select(*[F.col(c).alias(f"g_{c}") for c in groups], F.col(date).alias("__d"))
@@ -112,7 +118,7 @@ def borrow(df: DataFrame, column: str, date: str, groups: Sequence[str], *, meth
             p = p.where(F.col(peers[0]).isin(list(neighbors)))
         out = cells.join(p.groupBy("__d").agg(lent), "__d")
     if method == "weighted":
-        by = ["__d", peers[0]] if isinstance(neighbors, Mapping) else ["__d"]
+        by = ["__d", peers[0]]
         needy = cells.drop("__d").distinct()
         have = df.where(F.col(column).isNotNull()).select(*[F.col(c).alias(f"h_{c}") for c in groups], F.col(date).alias("__d"), y.alias("gy"))
         have = have.join(needy, _all_equal(keys, [f"h_{c}" for c in groups])).drop(*[f"h_{c}" for c in groups])
@@ -126,6 +132,32 @@ def borrow(df: DataFrame, column: str, date: str, groups: Sequence[str], *, meth
     return out.select(*[F.col(f"g_{c}").alias(c) for c in groups], F.col("__d").alias(date), "__lent")
 
 
+def _borrow_weighted(df: DataFrame, column: str, date: str, groups: Sequence[str], neighbors: Sequence | None) -> DataFrame:
+    """Each block of series with missing cells meets each block of lenders in one group; only sums for the missing cells leave it."""
+    keys, peers = [f"g_{c}" for c in groups], [f"p_{c}" for c in groups]
+    y = F.col(column).cast("double")
+    values, names = df.agg(F.count(column), F.approx_count_distinct(F.struct(*groups))).first()
+    n = max(1, -(-(values + SERIES_COSTS * names) // BLOCK))
+    point = F.when(y.isNotNull(), F.struct(F.col(date).alias("at"), y.alias("y")))
+    series = df.where(F.col(date).isNotNull()).groupBy(*[F.col(c).alias(k) for c, k in zip(groups, keys, strict=True)])
+    series = series.agg(F.collect_list(point).alias("have"), F.collect_set(F.when(y.isNull(), F.col(date))).alias("missing")).withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(n)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    needy = series.where(F.size("missing") > 0).withColumn("other", every).withColumn("pair", F.col("block") * n + F.col("other")).drop("other")
+    lenders = series.where(F.size("have") > 0).drop("missing").withColumnsRenamed(dict(zip(keys, peers, strict=True)))
+    if neighbors is not None:
+        lenders = lenders.where(F.col(peers[0]).isin(list(neighbors)))
+    lenders = lenders.withColumn("other", every).withColumn("pair", F.col("other") * n + F.col("block")).drop("other")
+    tasks = min(n * n, 10_000)  # a number, else small groups that take long would be put together
+    kinds = {f.name: f.dataType for f in df.schema}
+    schema = T.StructType([T.StructField(k, kinds[c]) for k, c in zip([*keys, "__d"], [*groups, date], strict=True)] + [T.StructField(c, T.DoubleType()) for c in ("wy", "w", "far_y", "far", "largest")])
+    met = needy.repartition(tasks, "pair").groupBy("pair").cogroup(lenders.repartition(tasks, "pair").groupBy("pair"))
+    cells = met.applyInArrow(lambda left, right: lend_blocks(left, right, keys, peers), schema)
+    cells = cells.groupBy(*keys, "__d").agg(*[F.sum(c).alias(c) for c in ("wy", "w", "far_y", "far")], F.max("largest").alias("largest"))
+    w = 1 / (F.coalesce(10 * F.col("largest"), F.lit(1.0)) + 1e-6)
+    lent = F.try_divide(F.col("wy") + w * F.col("far_y"), F.col("w") + w * F.col("far"))
+    return cells.select(*[F.col(k).alias(c) for c, k in zip(groups, keys, strict=True)], F.col("__d").alias(date), lent.alias("__lent")).where("__lent is not null")
+
+
 def _renamed(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
     return df.withColumnsRenamed({c: f"{prefix}{c}" for c in columns})
 

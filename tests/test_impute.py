@@ -1,9 +1,10 @@
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
 from helpers import column, daily, single
 
+from seriesmill.operators import impute
 from seriesmill.operators.impute import borrow, fill_gaps, gap_runs, imputation_summary
 
 
@@ -151,3 +152,49 @@ def test_long_series_are_filled_in_one_pass(spark):
         out = fill_gaps(df, "value", "date", strategy=strategy, extrapolate=True)
         assert "unboundedfollowing$()" not in out._jdf.queryExecution().executedPlan().toString().lower().replace(" ", "")
         assert out.where("value is null").count() == 0
+
+
+def lent_by_hand(series, eps=1e-6):
+    """{(name, day): value} by plain loops over {name: [(day, value or None)]}; days may repeat."""
+    out = {}
+    for g, points in series.items():
+        has = {q: [abs(y - z) for d, y in points for e, z in other if d == e and None not in (y, z)] for q, other in series.items() if q != g}
+        far = {q: np.mean(v) for q, v in has.items() if v}
+        for day in {d for d, y in points if y is None}:
+            at = [(1 / (far.get(q, 10 * max(far.values(), default=0.1)) + eps), z) for q in has for e, z in series[q] if e == day and z is not None]
+            if at:
+                out[g, day] = sum(w * z for w, z in at) / sum(w for w, _ in at)
+    return out
+
+
+@pytest.mark.parametrize("block", [250_000, 300])
+def test_borrow_weighted_by_hand(spark, monkeypatch, block):
+    """Sparse and full series, dates that occur twice, series without a shared date, null names, one group or two, in one block and in many."""
+    monkeypatch.setattr(impute, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    series = {}
+    for i in range(60):
+        days = [d for d in range(40) if rng.random() < (0.9, 0.1, 0.5)[i % 3] and (i % 10 or d < 5)]
+        series[f"s{i}" if i else None, i % 2] = [(d, None if rng.random() < 0.15 else round(float(rng.normal(50, 20)), 2)) for d in days + days[:1] * (i % 7 == 0)]
+    series["late", 0], series["later", 1] = [(90, 1.0), (91, None), (5, None)], [(91, 4.0), (92, None)]
+    rows = [(*k, date(2023, 1, 1) + timedelta(days=d), y) for k, points in series.items() for d, y in points]
+    df = spark.createDataFrame(rows, "series string, part int, date date, value double")
+    got = borrow(df, "value", "date", ["series", "part"], method="weighted").collect()
+    want = lent_by_hand(series)
+    assert len(got) == len(want) > 80
+    for s, part, day, value in got:
+        assert value == pytest.approx(want[(s, part), (day - date(2023, 1, 1)).days], rel=1e-9)
+
+
+def test_borrow_weighted_makes_no_row_for_each_pair_and_date(spark):
+    df = daily(spark, {"A": [1, None, 3], "B": [2, 3, 4], "C": [5, None, 9]})
+    plan = borrow(df, "value", "date", ["series"], method="weighted")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_borrow_weighted_without_lenders(spark):
+    df = daily(spark, {"A": [None, None], "B": [None, None]})
+    assert borrow(df, "value", "date", ["series"], method="weighted").count() == 0
+    assert borrow(df.where("false"), "value", "date", ["series"], method="weighted").count() == 0
+    lent = borrow(daily(spark, {"A": [1, None], "B": [1, 7], "C": [5, 9]}), "value", "date", ["series"], method="weighted", neighbors=["C"]).collect()
+    assert [r[2] for r in lent] == [9]
