@@ -61,7 +61,7 @@ def distances(g: list[Points], p: list[Points], shape: tuple[int, int]) -> tuple
                 dense[k, row] = y
             has, lends = ~np.isnan(left), ~np.isnan(right)
             n += has.T.astype(float) @ lends.astype(float)
-            few = 4 * has.sum(1) * lends.sum(1) < shape[0] * shape[1]
+            few = (4 * has.sum(1) * lends.sum(1) < shape[0] * shape[1]) | (np.isinf(left).any(1) & np.isinf(right).any(1))
             for k in range(len(codes)):
                 if few[k]:
                     r, c = np.flatnonzero(has[k]), np.flatnonzero(lends[k])
@@ -74,6 +74,13 @@ def distances(g: list[Points], p: list[Points], shape: tuple[int, int]) -> tuple
     return total, n
 
 
+def weighted(weight: np.ndarray, pairs: np.ndarray, what: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Sums over the lenders of these pairs that have the date. An infinite or NaN weight or value reaches no other date or series."""
+    if np.isfinite(weight).all() and np.isfinite(what).all():
+        return weight @ what
+    return np.array([np.where(pairs & t, weight * x, 0.0).sum(1) for x, t in zip(what.T, there.T, strict=True)]).T
+
+
 def lend(g: Points, n_g: int, p: Points, n_p: int, cell_row: np.ndarray, cell_at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each missing cell (needy row, date code) the lenders' weighted values, their weights, and values and number of those without a shared date; for each needy row the largest distance, -inf if there is none.
 
@@ -103,9 +110,9 @@ def lend(g: Points, n_g: int, p: Points, n_p: int, cell_row: np.ndarray, cell_at
                 values, counts = (np.bincount(place, weights, shape[1] * len(codes)).reshape(shape[1], -1) for weights in (y, np.ones(len(y))))
                 now = np.flatnonzero((cell_at[cells] >= codes[0]) & (cell_at[cells] <= codes[-1]))
                 at = rows[now], np.searchsorted(codes, cell_at[cells[now]])
-                for i, (weight, what) in enumerate(((w, values), (w, counts), (far.astype(float), values), (far.astype(float), counts))):
+                for i, (weight, pairs, what) in enumerate(((w, near, values), (w, near, counts), (far.astype(float), far, values), (far.astype(float), far, counts))):
                     if i < 2 or far.any():
-                        sums[i, cells[now]] += (weight @ what)[at]
+                        sums[i, cells[now]] += weighted(weight, pairs, what, counts > 0)[at]
     return sums, largest
 
 
@@ -122,7 +129,8 @@ def lend_blocks(left: pa.Table, right: pa.Table, keys: list[str], peers: list[st
     if left.num_rows and right.num_rows and left["block"][0].as_py() == right["block"][0].as_py():
         place = {k: i for i, k in enumerate(map(repr, zip(*(right[x].to_pylist() for x in peers), strict=True)))}
         own = np.array([place.get(k, -1) for k in map(repr, zip(*(left[x].to_pylist() for x in keys), strict=True))])
-    sums, largest = lend(Points(rows[0], a, y_g), left.num_rows, Points(rows[2], c, y_p), right.num_rows, rows[1], b, own)
+    with np.errstate(invalid="ignore"):  # infinite values
+        sums, largest = lend(Points(rows[0], a, y_g), left.num_rows, Points(rows[2], c, y_p), right.num_rows, rows[1], b, own)
     most = largest[rows[1]]
     out = {x: left[x].take(pa.array(rows[1])) for x in keys} | {"__d": cell}
     out |= {x: pa.array(s) for x, s in zip(("wy", "w", "far_y", "far"), sums, strict=True)} | {"largest": pa.array(most, mask=most == -np.inf)}

@@ -153,7 +153,7 @@ def _borrow_weighted(df: DataFrame, column: str, date: str, groups: Sequence[str
     met = needy.repartition(tasks, "pair").groupBy("pair").cogroup(lenders.repartition(tasks, "pair").groupBy("pair"))
     cells = met.applyInArrow(lambda left, right: lend_blocks(left, right, keys, peers), schema)
     cells = cells.groupBy(*keys, "__d").agg(*[F.sum(c).alias(c) for c in ("wy", "w", "far_y", "far")], F.max("largest").alias("largest"))
-    w = 1 / (F.coalesce(10 * F.col("largest"), F.lit(1.0)) + 1e-6)
+    w = F.when(F.col("far") > 0, 1 / (F.coalesce(10 * F.col("largest"), F.lit(1.0)) + 1e-6)).otherwise(F.lit(0.0))
     lent = F.try_divide(F.col("wy") + w * F.col("far_y"), F.col("w") + w * F.col("far"))
     return cells.select(*[F.col(k).alias(c) for c, k in zip(groups, keys, strict=True)], F.col("__d").alias(date), lent.alias("__lent")).where("__lent is not null")
 

@@ -186,6 +186,17 @@ def test_borrow_weighted_by_hand(spark, monkeypatch, block):
         assert value == pytest.approx(want[(s, part), (day - date(2023, 1, 1)).days], rel=1e-9)
 
 
+def test_borrow_weighted_infinite_values_stay_where_they_are(spark):
+    inf = float("inf")
+    df = daily(spark, {"A": [1, inf, None, None], "B": [2, inf, 7, None], "C": [4, 5, 9, 8], "D": [1, 2, None, None], "E": [3, 4, None, 3]})
+    lent = {(r[0], r[1].day): r[2] for r in borrow(df, "value", "date", ["series"], method="weighted").collect()}
+    assert set(lent) == {("A", 3), ("D", 3), ("D", 4), ("E", 3)}  # all lenders of A and B on the fourth are infinitely far
+    assert np.isnan(lent["A", 3]) and lent["D", 3] == lent["E", 3] == pytest.approx(9) and lent["D", 4] == pytest.approx(5, abs=1e-4)
+    far = daily(spark, {"A": [1, None, None], "B": [None, inf, 7], "C": [3, 2, 9]})
+    lent = {(r[0], r[1].day): r[2] for r in borrow(far, "value", "date", ["series"], method="weighted").collect()}
+    assert lent["A", 2] == inf and lent["A", 3] == pytest.approx((9 / 2 + 7 / 20) / (1 / 2 + 1 / 20), abs=1e-4)
+
+
 def test_borrow_weighted_makes_no_row_for_each_pair_and_date(spark):
     df = daily(spark, {"A": [1, None, 3], "B": [2, 3, 4], "C": [5, None, 9]})
     plan = borrow(df, "value", "date", ["series"], method="weighted")._jdf.queryExecution().executedPlan().toString()
